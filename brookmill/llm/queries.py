@@ -8,8 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .embedding_dedup import link_vectors
 from .packing import pack
+from .simhash import simhash_groups
 from .token_files import token_file_index
+from .url_filter import judge_urls
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +38,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_simhash": op2_simhash,
+    "op4_url_filter": op4_url_filter,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
