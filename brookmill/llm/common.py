@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step inside a task works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,8 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about ``most`` bytes of ``column``, or one row."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that each holds about ``most`` bytes of ``column`` or ``rows`` rows, or one row."""
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -62,7 +62,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         start, held = 0, 0
         for i, size in enumerate(sizes):
             size = 0 if size != size else int(size)
-            if i > start and held + size > most:
+            if i > start and (held + size > most or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
@@ -77,3 +77,10 @@ def lower_ascii(column):
 def fold_of(column, folds: int):
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(column.cast("string").cast("binary")) % folds
+
+
+def sampled(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of each value of ``by``, chosen by a hash of ``key``; all if there are fewer."""
+    share = df.groupBy(by).agg((F.lit(float(most)) / F.count("*")).alias("_share"))
+    chance = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return df.join(F.broadcast(share), by).where(chance < F.col("_share")).drop("_share")

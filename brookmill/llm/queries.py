@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .embedding_dedup import link_vectors
+from .language_id import predict_language
+from .language_model import score_texts
 from .packing import pack
+from .quality import grade_of, judge_quality
 from .simhash import simhash_groups
 from .token_files import token_file_index
 from .url_filter import judge_urls
@@ -25,10 +29,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(read_table(spark, sf_dir, "documents"), folds=4, held_out=2)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return judge_quality(read_table(spark, sf_dir, "documents"), labels.where("grade is not null"))
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,7 +57,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
+    "op8_language_model": op8_language_model,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
