@@ -9,6 +9,8 @@ of them once instead of once per occurrence.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import ChainMap
 from functools import lru_cache
 from itertools import islice
 
@@ -16,9 +18,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces kept by one worker; the table is emptied when it is full.
-MAX_PIECES = 800_000
+MAX_PIECES = 1_500_000
 #: Pieces that stay when the table is emptied.
-FIRST_PIECES = 250_000
+FIRST_PIECES = 500_000
 #: Marks that both rules part from a word before them.
 MARKS = (",", ".")
 #: Longer pieces are encoded but not kept.
@@ -34,26 +36,58 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class _Pieces(dict):
     """Piece -> ids as little-endian bytes."""
 
-    def __init__(self, tokenizer: Tokenizer, dtype: str, prefix: str):
+    def __init__(self, tokenizer: Tokenizer, dtype: str, prefix: str, first: bool):
         super().__init__()
         self.tokenizer, self.dtype, self.prefix = tokenizer, dtype, prefix
+        self.border = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.word_ends = not prefix and not first
+        self.once: dict[str, bytes] = {}  # what the batch at hand needs and later ones won't
+        for token, i in tokenizer.get_vocab().items():
+            self.border[i] = token.startswith("\u0120") if prefix else token.endswith("</w>")
 
-    def _encode(self, pieces: list[str], prefix: str) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)]
+    def __missing__(self, piece: str) -> bytes:
+        return self.once[piece]
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Encodes what is not known; returns pieces too long to keep."""
-        new = [p for p in pieces if p not in self]
+    def _encode(self, pieces: list[str], prefix: str) -> list[bytes]:
+        if prefix:
+            pieces = [prefix + p for p in pieces]
+        code = "H" if self.dtype == "<u2" else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Many words in one call: the first or last id of each word shows where it is."""
+        joined = " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.prefix + joined], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.border[ids])
+        if len(at) != len(words):
+            return self._encode(words, self.prefix)
+        starts = at if self.prefix else np.concatenate([[0], at[:-1] + 1])
+        cuts = np.append(starts, len(ids)) * ids.itemsize
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def unknown(self, pieces: set[str]) -> set[str]:
+        """The pieces to learn; the table is emptied first if they would not fit."""
+        new = pieces.difference(self)
         if len(self) + len(new) > MAX_PIECES:
             kept = list(islice(self.items(), FIRST_PIECES))  # those met first are mostly the frequent ones
             self.clear()
             self.update(kept)
-            new = [p for p in pieces if p not in self]
+            new = pieces.difference(self)
+        return new
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encodes pieces that are not known; returns those too long to keep."""
         # a word and the one mark after it are always parted, so a marked word costs no call
         marked = [p for p in new if p[-1:] in MARKS and p[:-1].isalpha() and max(p) <= "\xff"]
-        words = list(set(new).difference(marked))
-        words += {p[:-1] for p in marked}.difference(words, self)
+        words = list(new.difference(marked).union(p[:-1] for p in marked).difference(self))
         once: dict[str, bytes] = {}
+        # letters alone are one word to both rules
+        plain = [p for p in words if p.isalpha() and len(p) <= MAX_PIECE_CHARS and max(p) <= "\xff"] if self.prefix or self.word_ends else []
+        for start in range(0, len(plain), 2_000):
+            part = plain[start : start + 2_000]
+            self.update(zip(part, self._encode_words(part)))
+        words = list(set(words).difference(plain))
         for start in range(0, len(words), 20_000):
             part = words[start : start + 20_000]
             for p, ids in zip(part, self._encode(part, self.prefix)):
@@ -81,22 +115,33 @@ class TextEncoder:
         tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.by_space = by_space
-        self.first, self.rest = _Pieces(tokenizer, self.dtype, ""), _Pieces(tokenizer, self.dtype, " ")
+        self.line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
+        self.first, self.rest = _Pieces(tokenizer, self.dtype, "", by_space), _Pieces(tokenizer, self.dtype, " ", False)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.by_space:
-            cut = [_SAFE_SPACE.split(t) if _UNSAFE_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-            heads = [c[0] for c in cut]
-            tails = [c[1:] for c in cut]
-            once_first = self.first.learn(set(heads))
-            once_rest = self.rest.learn(set().union(*tails))
-            first = {**self.first, **once_first} if once_first else self.first
-            rest = {**self.rest, **once_rest} if once_rest else self.rest
-            return [first[h] + b"".join(map(rest.__getitem__, t)) for h, t in zip(heads, tails)]
+            cut = [(t or "").split(" ") for t in texts]
+            new = self.rest.unknown(set().union(*(c[1:] for c in cut)))
+            new_first = self.first.unknown({c[0] for c in cut})
+            if any(p != p.strip() or not p for p in new) or any(p != p.strip() or (not p) for p in new_first):
+                # some space has white space beside it; a piece that is known never has
+                cut = [_SAFE_SPACE.split(t) if _UNSAFE_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+                new = self.rest.unknown(set().union(*(c[1:] for c in cut)))
+                new_first = self.first.unknown({c[0] for c in cut})
+            # a single line end between visible characters is always a piece of its own
+            lines = {p: p.split("\n") for p in new if "\n" in p and p.split() == p.split("\n")}
+            if lines:
+                new = new.difference(lines).union(x[0] for x in lines.values()).difference(self.rest)
+                new_first = new_first.union(*(x[1:] for x in lines.values())).difference(self.first)
+            long_rest, long_first = self.rest.learn(new), self.first.learn(new_first)
+            if lines:
+                rest, first = ChainMap(self.rest, long_rest), ChainMap(self.first, long_first)
+                long_rest |= {p: rest[x[0]] + b"".join(self.line_end + first[y] for y in x[1:]) for p, x in lines.items()}
+            self.rest.once, self.first.once = long_rest, long_first
+            return [self.first[c[0]] + b"".join(map(self.rest.__getitem__, c[1:])) for c in cut]
         cut = [t.split() if not _ODD_SPACE.search(t) else _PLAIN_SPACE.split(t) for t in (t or "" for t in texts)]
-        once = self.first.learn(set().union(*cut))
-        known = {**self.first, **once} if once else self.first
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        self.first.once = self.first.learn(self.first.unknown(set().union(*cut)))
+        return [b"".join(map(self.first.__getitem__, c)) for c in cut]
 
 
 @lru_cache(maxsize=4)
