@@ -15,6 +15,7 @@ from .language_model import score_texts
 from .packing import pack
 from .quality import grade_of, judge_quality
 from .simhash import simhash_groups
+from .substring_dedup import remove_repeats
 from .token_files import token_file_index
 from .url_filter import judge_urls
 
@@ -42,6 +43,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents"), labels.where("grade is not null"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"), folds=7, held_out=2)
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_language_model": op8_language_model,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
