@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontamination import leaks
 from .embedding_dedup import link_vectors
 from .language_id import predict_language
 from .language_model import score_texts
@@ -43,6 +44,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents"), labels.where("grade is not null"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_language_model": op8_language_model,
     "op9_token_files": op9_token_files,
