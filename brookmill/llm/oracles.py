@@ -1,3 +1,49 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express, written apart from the Spark code.
 
-ORACLES: dict[str, str] = {}
+The others have none: XXH64 of UTF-8 text with a seed, tokenizers and trained models are not in
+SQL, and grouping all 400-byte strings is too slow there.  Tests hold them against brute force.
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_REST = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) END"
+_HOST = f"translate(regexp_extract({_REST}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+_PATH = f"regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1)"
+_QUERY = f"regexp_extract({_REST}, '^[^?#]*\\?([^#]*)', 1)"
+_KEPT = f"array_to_string(list_filter(string_split({_QUERY}, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')), '&')"
+_ADDRESS = (
+    f"regexp_replace(regexp_replace({_HOST}, ':(80|443)$', ''), '^www\\.', '') || regexp_replace({_PATH}, '/+$', '')"
+    f" || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END"
+)
+_TAGS = """regexp_extract(html, '(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1) AS canonical_tag,
+  regexp_extract(html, '(?is)(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1) AS refresh_tag"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """WITH RECURSIVE
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT id, b FROM reach JOIN links ON r = a),
+roots AS (SELECT id, min(r) AS root FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings JOIN roots ON vec_id = id LEFT JOIN degree ON vec_id = a""",
+    "op4_url_filter": f"""WITH RECURSIVE
+rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, rhost, rpath)),
+tagged AS (SELECT url, {_TAGS} FROM pages WHERE strpos(url, '://') > 0),
+found AS (SELECT url, regexp_extract(canonical_tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM tagged
+  UNION ALL SELECT url, regexp_extract(refresh_tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tagged),
+links AS (SELECT url, CASE WHEN strpos(target, '://') > 0 THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?:)//', 1) || target
+  WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || target END AS target FROM found WHERE target <> ''),
+urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT target FROM links WHERE target IS NOT NULL) WHERE strpos(url, '://') > 0),
+parts AS (SELECT url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, {_ADDRESS.format("url")} AS address FROM urls),
+ruled AS (SELECT url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
+edges AS (SELECT x.address AS a, y.address AS b FROM links JOIN parts x ON links.url = x.url JOIN parts y ON links.target = y.url WHERE x.address <> y.address),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+blocked(address) AS (SELECT address FROM parts JOIN ruled USING (url) WHERE verdict = 'block' UNION SELECT b FROM blocked JOIN both_ways ON address = a)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+  CASE WHEN ruled.verdict IS NOT NULL THEN ruled.verdict WHEN blocked.address IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  ruled.verdict IS NULL AND blocked.address IS NOT NULL AS by_alias
+FROM pages LEFT JOIN parts USING (url) LEFT JOIN ruled USING (url) LEFT JOIN blocked ON parts.address = blocked.address""",
+}
