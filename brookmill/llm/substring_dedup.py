@@ -37,8 +37,9 @@ from .hashing import mix, prefix_sums, stretch_hashes
 TRIGGER_BYTES, PHRASE_BYTES = 24, 64  # a trigger's bytes; mean distance of triggers
 SLICE = 1 << 20
 _PHRASE, _SUFFIX = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-#: The lowest bit of a key tells suffixes with the phrase before them from the others.
-_JOINED, _NOT_JOINED = np.uint64(1), ~np.uint64(1)
+#: The lowest bit of a key marks suffixes with the phrase before them in the first grouping,
+#: and in the second strings that are known to repeat.
+_MARK, _UNMARKED = np.uint64(1), ~np.uint64(1)
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -90,16 +91,16 @@ class Parse:
         self.lefts, self.rights = self.suffixes[:-1][same], self.suffixes[1:][same]
 
     def phrase_keys(self) -> np.ndarray:
-        return mix(stretch_hashes(self.h, self.phrase_starts, self.phrase_ends) + _PHRASE) & _NOT_JOINED
+        return mix(stretch_hashes(self.h, self.phrase_starts, self.phrase_ends) + _PHRASE) & _UNMARKED
 
     def suffix_keys(self) -> np.ndarray:
-        return mix(stretch_hashes(self.h, self.suffixes, self.suffixes + self.length) + _SUFFIX) & _NOT_JOINED
+        return mix(stretch_hashes(self.h, self.suffixes, self.suffixes + self.length) + _SUFFIX) & _UNMARKED
 
     def joined_keys(self) -> np.ndarray:
-        return mix(stretch_hashes(self.h, self.lefts, self.rights + self.length)) | _JOINED
+        return mix(stretch_hashes(self.h, self.lefts, self.rights + self.length)) | _MARK
 
     def string_keys(self, starts: np.ndarray) -> np.ndarray:
-        return mix(stretch_hashes(self.h, starts, starts + self.length))
+        return mix(stretch_hashes(self.h, starts, starts + self.length)) & _UNMARKED
 
     def open_places(self, repeated: np.ndarray) -> np.ndarray:
         """Starts that the first grouping leaves open."""
@@ -154,19 +155,25 @@ def _keyed_rows(batch_id: int, keys: np.ndarray, buckets: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([batch_id] * len(rows), pa.int64()), pa.array([keys[borders[b] : borders[b + 1]].tobytes() for b in rows], pa.binary())], names=["bucket", "batch", "keys"])
 
 
-def _repeated(keyed: DataFrame, buckets: int) -> DataFrame:
+def _repeated(keyed: DataFrame, buckets: int, second: bool = False) -> DataFrame:
     """For each slice its keys that occur at least twice in the corpus (``keys``), and which
-    of the joined ones it is the first slice to hold (``firsts``)."""
+    of the joined ones it is the first slice to hold (``firsts``).
+
+    In the second grouping a marked key makes its unmarked ones repeat, and only these are
+    answered.
+    """
 
     def group(rows: list[tuple]) -> pa.RecordBatch:
         keys = np.concatenate([np.frombuffer(k, "<u8") for _, k in rows])
         owner = np.repeat(np.arange(len(rows)), [len(k) // 8 for _, k in rows])
         order = np.argsort(keys, kind="stable")  # rows are in the order of slices
         keys, owner = keys[order], owner[order]
-        same = keys[1:] == keys[:-1]
+        same = (keys[1:] | _MARK) == (keys[:-1] | _MARK) if second else keys[1:] == keys[:-1]
         follows = np.concatenate([[False], same])
         again = follows | np.concatenate([same, [False]])
-        first = ~follows[again] & ((keys[again] & _JOINED) > 0)
+        if second:
+            again &= (keys & _MARK) == 0
+        first = ~follows[again] & ((keys[again] & _MARK) > 0)
         keys, owner = keys[again], owner[again]
         order = np.argsort(owner, kind="stable")
         keys, first, borders = keys[order], first[order], np.searchsorted(owner[order], np.arange(len(rows) + 1))
@@ -191,29 +198,23 @@ def _repeated(keyed: DataFrame, buckets: int) -> DataFrame:
 def _with_answers(slices: DataFrame, answers: list[DataFrame], work, schema) -> DataFrame:
     """Brings each slice together with its answers; ``work(batch id, slice, answers)`` yields batches.
 
-    The first answers' ``firsts`` come last."""
-    nothing = F.lit(None).cast("binary")
-    rows = slices.select("batch", F.lit(len(answers)).alias("turn"), nothing.alias("keys"), nothing.alias("firsts"), "data")
+    The first answers' ``firsts`` come last.  The slices are shuffled by a plain join on their
+    number, so that Spark writes them once for both uses.
+    """
+    rows, columns = slices, ["batch", "data"]
     for turn, found in enumerate(answers):
-        rows = rows.union(found.select("batch", F.lit(turn), "keys", "firsts", nothing))
-    count = len(answers)
+        gathered = [F.collect_list("keys").alias(f"keys{turn}")] + ([F.collect_list("firsts").alias("firsts")] if turn == 0 else [])
+        rows = rows.join(found.groupBy("batch").agg(*gathered).hint("shuffle_merge"), "batch", "left")
+        columns.append(f"keys{turn}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, firsts = None, [[] for _ in range(count)], []
         for arrow in batches:
             for i in range(arrow.num_rows):
-                batch, turn = arrow.column(0)[i].as_py(), arrow.column(1)[i].as_py()
-                if batch != current:
-                    current, held, firsts = batch, [[] for _ in range(count)], []
-                if turn < count:
-                    held[turn].append(np.frombuffer(arrow.column(2)[i].as_py(), "<u8"))
-                    if turn == 0:
-                        firsts.append(np.frombuffer(arrow.column(3)[i].as_py(), "<u8"))
-                else:
-                    known = [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in (*held, firsts)]
-                    yield from work(batch, _unpacked(arrow.column(4)[i].as_py()), known)
+                blobs = [arrow.column(c)[i].as_py() or [] for c in range(2, arrow.num_columns)]
+                known = [np.sort(np.frombuffer(b"".join(x), "<u8")) for x in blobs]
+                yield from work(arrow.column(0)[i].as_py(), _unpacked(arrow.column(1)[i].as_py()), known)
 
-    return rows.repartition(parallelism(slices.sparkSession), "batch").sortWithinPartitions("batch", "turn").mapInArrow(run, schema)
+    return rows.select(*columns, "firsts").mapInArrow(run, schema)
 
 
 def _runs(starts: np.ndarray, length: int) -> np.ndarray:
@@ -258,11 +259,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     def second_keys(batch: int, rows: pa.RecordBatch, answers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         parse = Parse(rows, length)
         repeated, firsts = answers
-        spoken_for = parse.string_keys(parse.between(firsts))
-        yield _keyed_rows(batch, np.concatenate([parse.string_keys(parse.open_places(repeated)), spoken_for, spoken_for]), buckets)
+        spoken_for = parse.string_keys(parse.between(firsts)) | _MARK
+        yield _keyed_rows(batch, np.concatenate([parse.string_keys(parse.open_places(repeated)), spoken_for]), buckets)
 
     first = written(_repeated(slices.mapInArrow(first_keys, _KEYED), buckets), "repeated-phrases")
-    second = _repeated(_with_answers(slices, [first], second_keys, _KEYED), buckets)
+    second = _repeated(_with_answers(slices, [first], second_keys, _KEYED), buckets, second=True)
 
     def finish(batch: int, rows: pa.RecordBatch, answers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         parse = Parse(rows, length)
