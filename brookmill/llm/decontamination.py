@@ -5,9 +5,10 @@ randomised SVD of that matrix is taken in one distributed pass: every task multi
 rows by a Gaussian matrix and back, the products are added up, and a Nystroem step on the
 small result gives right singular vectors and singular values.  In the latent space, scaled
 by the singular values, passages of each item's length are compared with the item by cosine;
-words that all texts share carry no weight there.  A candidate is verified where it was found: the longest
-common subsequence of words with the item must cover most of the item, or somewhat less of
-it together with all words of the item's answer, its last words.
+words that all texts share carry no weight there.  A candidate is verified where it was
+found: first its word signature must not lack too many of the item's bits, which no leak
+does; then the longest common subsequence of words with the item must cover most of the
+item, or somewhat less of it together with all words of the item's answer, its last words.
 
 Document frequencies and the SVD cover all texts.  Items are broadcast in blocks of bounded
 size, each compared with all texts.
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism, text_slices
-from .hashing import HASH_SLICE, mix, prefix_sums, stretch_hashes
+from .hashing import mix, prefix_sums, stretch_hashes
 
 #: Words of a chunk, hashed words, latent dimensions and extra ones for the sketch.
-CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 96, 16
+CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 64, 8
 DIMS = 1 << DIM_BITS
 #: Least cosine of a candidate.
 LEAST_COSINE = 0.38
@@ -35,6 +36,10 @@ ALONE, WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 5
 #: Shorter items match nothing; items broadcast at a time.
 LEAST_WORDS, ITEM_BLOCK = 5, 2000
 _ROWS = 64  # rows of the sketch that travel together
+#: 64-bit words of a signature, which has a bit for each word.
+_SIGNATURE = 8
+#: Bytes of text handled at a time; what they need fits a processor's cache.
+_SLICE = 1 << 19
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -68,6 +73,13 @@ class Chunks:
         self.rows = np.full((len(self.starts), CHUNK), DIMS, np.uint16)
         self.rows[self.chunk_of, place % CHUNK] = self.places
 
+    def signatures(self) -> np.ndarray:
+        """Bits of the words of each chunk."""
+        out = np.zeros((len(self.rows), _SIGNATURE), np.uint64)
+        word, bit = _signature_bits(self.hashes)
+        np.bitwise_or.at(out, (self.chunk_of, word), bit)
+        return out
+
     def times(self, table: np.ndarray) -> np.ndarray:
         """The chunks' rows of counts times ``table``, which has a last row of zeros."""
         out = np.zeros((len(self.rows), table.shape[1]), np.float32)
@@ -78,6 +90,11 @@ class Chunks:
         return out
 
 
+def _signature_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = (hashes & np.uint64(64 * _SIGNATURE - 1)).astype(np.int64)
+    return low >> 6, np.uint64(1) << (low & 63).astype(np.uint64)
+
+
 def _with_zero(table: np.ndarray) -> np.ndarray:
     return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
@@ -87,7 +104,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS + 1, np.int64)
-        for batch in text_slices(batches, "text", HASH_SLICE):
+        for batch in text_slices(batches, "text", _SLICE):
             chunks = Chunks(batch.column(0).to_pylist())
             pairs = np.sort(chunks.chunk_of.astype(np.uint64) << np.uint64(DIM_BITS) | chunks.places.astype(np.uint64))
             if len(pairs):
@@ -110,12 +127,12 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((DIMS, width), np.float64)
-        for batch in text_slices(batches, "text", HASH_SLICE):
+        for batch in text_slices(batches, "text", _SLICE):
             chunks = Chunks(batch.column(0).to_pylist())
             product = chunks.times(forward)
             order = np.argsort(chunks.places, kind="stable")
-            for start in range(0, len(order), 1 << 17):
-                part = order[start : start + (1 << 17)]
+            for start in range(0, len(order), 1 << 13):
+                part = order[start : start + (1 << 13)]
                 places = chunks.places[part]
                 first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
                 total[places[first]] += np.add.reduceat(product[chunks.chunk_of[part]], first, axis=0)
@@ -201,26 +218,38 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, spark):
         if n >= LEAST_WORDS:
             by_size.setdefault(-(-n // CHUNK) + 1, []).append(i)
     item_words = [hashes[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])]
-    shared = spark.sparkContext.broadcast(([i for i, _ in block], item_words, x, by_size, latent))
+    signatures = np.zeros((len(block), _SIGNATURE), np.uint64)
+    word, bit = _signature_bits(hashes)
+    np.bitwise_or.at(signatures, (owner, word), bit)
+    # a common subsequence of that share leaves out at most so many words, and so bits
+    may_lack = np.floor((1 - min(ALONE, WITH_ANSWER)) * np.diff(borders) + 1e-9)
+    shared = spark.sparkContext.broadcast(([i for i, _ in block], item_words, x, by_size, latent, signatures, may_lack))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_words, x, by_size, table = shared.value
-        for batch in text_slices(batches, "text", HASH_SLICE):
+        ids, item_words, x, by_size, table, signatures, may_lack = shared.value
+        for batch in text_slices(batches, "text", _SLICE):
             chunks = Chunks(batch.column(1).to_pylist())
             rows = chunks.times(table)
             n = len(rows)
             best: dict[tuple[int, int], tuple] = {}
             passage, size = rows.copy(), 1
+            chunk_bits = chunks.signatures()
+            bits = chunk_bits.copy()
             for wanted in sorted(by_size):
                 while size < wanted:  # a passage ends with its text
                     if n > size:
                         inside = chunks.owner[size:] == chunks.owner[:-size]
                         passage[:-size][inside] += rows[size:][inside]
+                        bits[:-size][inside] |= chunk_bits[size:][inside]
                     size += 1
                 own = by_size[wanted]
                 norm = np.maximum(np.linalg.norm(passage, axis=1), 1e-12)
                 cosines = (passage @ x[own].T) / norm[:, None]
-                for at, k in zip(*np.nonzero(cosines >= LEAST_COSINE)):
+                near, which = np.nonzero(cosines >= LEAST_COSINE)
+                items = np.array(own)[which]
+                lacking = np.bitwise_count(signatures[items] & ~bits[near]).sum(axis=1)
+                use = lacking <= may_lack[items]
+                for at, k in zip(near[use].tolist(), which[use].tolist()):
                     text, item = int(chunks.owner[at]), own[k]
                     a = chunks.starts[at]
                     passage_words = chunks.hashes[a : min(a + wanted * CHUNK, chunks.text_borders[text + 1])].tolist()
