@@ -33,9 +33,10 @@ def start_page_pv(actions: DataFrame, flow: tuple[int, ...]) -> DataFrame:
 def page_convert_rate(actions: DataFrame, flow: tuple[int, ...], tie: str = "event_id") -> DataFrame:
     """Share of the previous step's views that go on, to two digits; null after a step without views."""
     pv = _flow_pairs(actions, flow).join(page_split_pv(actions, flow, tie), ["from_page", "to_page"], "left").withColumn("pv", F.coalesce("pv", F.lit(0)))
-    start = start_page_pv(actions, flow).select(F.col("pv").alias("start_pv"))
-    before = F.coalesce(F.lag("pv").over(Window.orderBy("position")), "start_pv")  # a row for each pair of the flow
-    rates = pv.join(F.broadcast(start), how="cross").withColumn("before", F.nullif(before, F.lit(0)))
+    start = start_page_pv(actions, flow).select(F.lit(0).alias("position"), "pv")
+    steps = start.unionByName(pv, allowMissingColumns=True)  # a row for each pair of the flow, and one before them
+    before = F.nullif(F.lag("pv").over(Window.orderBy("position")), F.lit(0))
+    rates = steps.withColumn("before", before).where("position > 0")
     return rates.select("position", "from_page", "to_page", "pv", F.round(F.col("pv") / F.col("before"), 2).alias("convert_rate"))
 
 
