@@ -1,7 +1,10 @@
 """The registered queries and the pipeline on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
+from test_llm import components, plain_fingerprint, plain_removal
 
 import corpus_pipeline
 from brookmill.llm.oracles import ORACLES
@@ -24,8 +27,44 @@ def test_query(spark, sf_dir, name):
         assert rows
 
 
-def test_pipeline(spark, sf_dir):
-    assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best_fit_packing"
-    packed = corpus_pipeline.run(spark, sf_dir).collect()
-    total = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
-    assert 0 < len({r["doc_id"] for r in packed}) <= len(total)
+def stage_outputs(spark, sf_dir, folder):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    outputs = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"file://{folder}/{name}")
+        docs = spark.read.parquet(f"file://{folder}/{name}")
+        outputs.append(docs)
+    return outputs
+
+
+def test_pipeline_matches_brute_force(spark, sf_dir, tmp_path):
+    start, language, near, cut, clean, packed = stage_outputs(spark, sf_dir, tmp_path)
+    for kept in (language, near, cut, clean):
+        assert sorted(kept.columns) == sorted(start.columns)
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    start, language, near, cut, clean = map(texts, (start, language, near, cut, clean))
+    # language: nothing that is ordinary text goes, and texts stay as they are
+    assert language.items() <= start.items() and len(language) >= 0.98 * len(start)
+    # near duplicates: the smallest id of each component
+    ids = sorted(language)
+    fps = [plain_fingerprint(language[i]) for i in ids]
+    roots = components(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    assert near == {ids[i]: language[ids[i]] for i in range(len(ids)) if roots[i] == i}
+    # repeats: what is left of each text, apart from characters that a run only partly covers
+    ids = sorted(near)
+    for i, (n_bytes, n_removed, n_spans, _) in zip(ids, plain_removal([near[i] for i in ids], 400)):
+        left = len(cut[i].encode())
+        assert n_bytes - n_removed <= left <= n_bytes - n_removed + 6 * n_spans
+    # leaks: texts with a whole item go, and others stay
+    plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+    items = [plain(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert {i for i, t in cut.items() if any(x in plain(t) for x in items)} == set(cut) - set(clean)
+    assert clean.items() <= cut.items()
+    # packing: every kept document once, within the capacity, without gaps
+    rows = packed.collect()
+    assert {r["doc_id"] for r in rows} == set(clean)
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 2048
