@@ -11,7 +11,6 @@ with one fingerprint are one node of that join, however many they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and its fingerprint ``fp`` as a signed long with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=1 << 20):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], "<u8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
 
