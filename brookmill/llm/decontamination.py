@@ -30,7 +30,7 @@ from .hashing import mix, prefix_sums, stretch_hashes
 CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 64, 8
 DIMS = 1 << DIM_BITS
 #: Least cosine of a candidate.
-LEAST_COSINE = 0.38
+LEAST_COSINE = 0.28
 #: Share of an item's words in common order that proves a leak, alone or with the answer.
 ALONE, WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 5
 #: Shorter items match nothing; items broadcast at a time.
