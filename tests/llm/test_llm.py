@@ -142,7 +142,7 @@ def test_language(spark):
         for _ in range(40):
             texts.append(" ".join(word(alphabet) for _ in range(30)))
             langs.append(lang)
-    odd = [None, "", "123 !!", "日本語の文章です " * 5]
+    odd = [None, "", "123 !!", "日本語の文章です " * 20]
     got = language_id.predict_language(docs_of(spark, texts + odd, None, langs + ["aa"] * 3 + [None])).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in got[: len(texts)]] == langs and not any(r["rejected"] for r in got[: len(texts)])
     assert [r["lang_pred"] for r in got[len(texts) : len(texts) + 3]] == ["und"] * 3
