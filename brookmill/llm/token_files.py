@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_table_path, parallelism, text_slices
-from .tokens import encoder
+from .tokens import TEXT_SLICE, encoder
 
 SELECT_STEP = 256
 #: A segment is closed when it holds so many ids or documents; one document is never cut.
@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT_ARROW)
 
         held = 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=TEXT_SLICE):
             shard_of = batch.column(2).to_pylist()
             for doc_id, shard, raw in zip(batch.column(0).to_pylist(), shard_of, enc.encode(batch.column(1).to_pylist())):
                 if ids and (shard != state["shard"] or held >= SEGMENT_IDS or len(ids) >= SEGMENT_DOCS):

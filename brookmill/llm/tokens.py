@@ -9,20 +9,25 @@ of them once instead of once per occurrence.
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from collections import ChainMap
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces kept by one worker; the table is emptied when it is full.
+#: Pieces kept by one worker; the table is trimmed when it is full.
 MAX_PIECES = 1_500_000
-#: Pieces that stay when the table is emptied.
-FIRST_PIECES = 500_000
-#: Marks that both rules part from a word before them.
-MARKS = (",", ".")
+#: Pieces that stay when the table is trimmed.
+FIRST_PIECES = 300_000
+#: Marks that both rules part from a word before them, and how many runs of them are kept.
+MARKS, MAX_MARKS = string.punctuation, 10_000
+#: Bytes of text encoded at a time: more of them share their unknown pieces.
+TEXT_SLICE = 16 << 20
 #: Longer pieces are encoded but not kept.
 MAX_PIECE_CHARS = 64
 
@@ -39,15 +44,12 @@ class _Pieces(dict):
     def __init__(self, tokenizer: Tokenizer, dtype: str, prefix: str, first: bool):
         super().__init__()
         self.tokenizer, self.dtype, self.prefix = tokenizer, dtype, prefix
+        self.marks: dict[str, bytes] = {}
         self.border = np.zeros(tokenizer.get_vocab_size(), bool)
         self.word_ends = not prefix and not first
-        self.once: dict[str, bytes] = {}  # what the batch at hand needs and later ones won't
         for token, i in tokenizer.get_vocab().items():
             self.border[i] = token.startswith("\u0120") if prefix else token.endswith("</w>")
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.once[piece]
-
     def _encode(self, pieces: list[str], prefix: str) -> list[bytes]:
         if prefix:
             pieces = [prefix + p for p in pieces]
@@ -66,38 +68,61 @@ class _Pieces(dict):
         raw, cuts = ids.tobytes(), cuts.tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    @contextmanager
+    def holding(self, once: dict[str, bytes]) -> Iterator[None]:
+        """Knows these pieces too, for one batch."""
+        self.update(once)
+        yield
+        for p in once:
+            del self[p]
+
     def unknown(self, pieces: set[str]) -> set[str]:
-        """The pieces to learn; the table is emptied first if they would not fit."""
+        """The pieces to learn; the table is trimmed first if they would not fit."""
         new = pieces.difference(self)
         if len(self) + len(new) > MAX_PIECES:
-            kept = list(islice(self.items(), FIRST_PIECES))  # those met first are mostly the frequent ones
-            self.clear()
-            self.update(kept)
+            self.trim()
             new = pieces.difference(self)
         return new
 
+    def trim(self) -> None:
+        """Keeps the pieces met first, which are mostly the frequent ones."""
+        if len(self) > FIRST_PIECES:
+            kept = list(islice(self.items(), FIRST_PIECES))
+            self.clear()
+            self.update(kept)
+
     def learn(self, new: set[str]) -> dict[str, bytes]:
         """Encodes pieces that are not known; returns those too long to keep."""
-        # a word and the one mark after it are always parted, so a marked word costs no call
-        marked = [p for p in new if p[-1:] in MARKS and p[:-1].isalpha() and max(p) <= "\xff"]
-        words = list(new.difference(marked).union(p[:-1] for p in marked).difference(self))
+        # a word and the marks after it are always parted, so a marked word costs no call
+        marked: list[tuple[str, str, str]] = []
+        words: set[str] = set()
+        for p in new:
+            word = p.rstrip(MARKS)
+            if word != p and word.isalpha() and max(word) <= "\xff":
+                marked.append((p, word, p[len(word) :]))
+                words.add(word)
+            else:
+                words.add(p)
         once: dict[str, bytes] = {}
+        words.difference_update(self)
         # letters alone are one word to both rules
         plain = [p for p in words if p.isalpha() and len(p) <= MAX_PIECE_CHARS and max(p) <= "\xff"] if self.prefix or self.word_ends else []
         for start in range(0, len(plain), 2_000):
             part = plain[start : start + 2_000]
             self.update(zip(part, self._encode_words(part)))
-        words = list(set(words).difference(plain))
+        words = list(words.difference(plain))
         for start in range(0, len(words), 20_000):
             part = words[start : start + 20_000]
             for p, ids in zip(part, self._encode(part, self.prefix)):
                 (self if len(p) <= MAX_PIECE_CHARS else once)[p] = ids
         if marked:
-            marks = dict(zip(MARKS, self._encode(list(MARKS), "")))
-            for p in marked:
-                word = p[:-1]
-                ids = (self[word] if word in self else once[word]) + marks[p[-1]]
+            unknown = list({m for _, _, m in marked}.difference(self.marks))
+            self.marks.update(zip(unknown, self._encode(unknown, "")))
+            for p, word, mark in marked:
+                ids = (self[word] if word in self else once[word]) + self.marks[mark]
                 (self if len(p) <= MAX_PIECE_CHARS else once)[p] = ids
+            if len(self.marks) > MAX_MARKS:
+                self.marks.clear()
         return once
 
 
@@ -118,16 +143,21 @@ class TextEncoder:
         self.line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
         self.first, self.rest = _Pieces(tokenizer, self.dtype, "", by_space), _Pieces(tokenizer, self.dtype, " ", False)
 
+    def trim(self) -> None:
+        """Gives memory back at the end of a task whose worker will do other work next."""
+        self.first.trim()
+        self.rest.trim()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.by_space:
             cut = [(t or "").split(" ") for t in texts]
-            new = self.rest.unknown(set().union(*(c[1:] for c in cut)))
-            new_first = self.first.unknown({c[0] for c in cut})
+            heads = [c.pop(0) for c in cut]
+            new, new_first = self.rest.unknown(set().union(*cut)), self.first.unknown(set(heads))
             if any(p != p.strip() or not p for p in new) or any(p != p.strip() or (not p) for p in new_first):
                 # some space has white space beside it; a piece that is known never has
                 cut = [_SAFE_SPACE.split(t) if _UNSAFE_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-                new = self.rest.unknown(set().union(*(c[1:] for c in cut)))
-                new_first = self.first.unknown({c[0] for c in cut})
+                heads = [c.pop(0) for c in cut]
+                new, new_first = self.rest.unknown(set().union(*cut)), self.first.unknown(set(heads))
             # a single line end between visible characters is always a piece of its own
             lines = {p: p.split("\n") for p in new if "\n" in p and p.split() == p.split("\n")}
             if lines:
@@ -137,11 +167,11 @@ class TextEncoder:
             if lines:
                 rest, first = ChainMap(self.rest, long_rest), ChainMap(self.first, long_first)
                 long_rest |= {p: rest[x[0]] + b"".join(self.line_end + first[y] for y in x[1:]) for p, x in lines.items()}
-            self.rest.once, self.first.once = long_rest, long_first
-            return [self.first[c[0]] + b"".join(map(self.rest.__getitem__, c[1:])) for c in cut]
+            with self.rest.holding(long_rest), self.first.holding(long_first):
+                return [self.first[head] + b"".join(map(self.rest.__getitem__, c)) for head, c in zip(heads, cut)]
         cut = [t.split() if not _ODD_SPACE.search(t) else _PLAIN_SPACE.split(t) for t in (t or "" for t in texts)]
-        self.first.once = self.first.learn(self.first.unknown(set().union(*cut)))
-        return [b"".join(map(self.first.__getitem__, c)) for c in cut]
+        with self.first.holding(self.first.learn(self.first.unknown(set().union(*cut)))):
+            return [b"".join(map(self.first.__getitem__, c)) for c in cut]
 
 
 @lru_cache(maxsize=4)
