@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brookmill.llm import decontamination, embedding_dedup, language_id, language_model, packing, quality, simhash, substring_dedup, token_files, url_filter
+import corpus_pipeline
+from brookmill.llm import decontamination, embedding_dedup, jaccard_dedup, language_id, language_model, packing, quality, simhash, substring_dedup, token_files, url_filter
 from brookmill.llm.components import connected_components
 from brookmill.llm.tokens import TextEncoder
 
@@ -130,6 +131,37 @@ def test_no_link_within_two_bits_is_missed(spark):
     assert {tuple(sorted(x)) for x in got} == want and len(got) == len(want)
 
 
+def plain_shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def test_near_copies_match_brute_force_jaccard(spark):
+    r = random.Random(3)
+    texts = list(AWKWARD)
+    for i in range(12):
+        base = small_words(i, r.choice([4, 30, 90, 300]))
+        texts.append(" ".join(base))
+        for changes in (0, 1, 2, 5, 9):
+            copy = list(base)
+            for _ in range(changes):
+                copy[r.randrange(len(copy))] = f"new{r.random()}"
+            texts.append(" ".join(copy))
+    drift = small_words(99, 120)  # a chain: neighbours are near, ends are not
+    for _ in range(40):
+        drift[r.randrange(120)] = f"new{r.random()}"
+        texts.append(" ".join(drift))
+    sets = [plain_shingles(t) for t in texts]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    assert sum(sets[i] != sets[j] for i, j in pairs) > 60
+    want = components(len(sets), pairs)
+    got = jaccard_dedup.jaccard_groups(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == want
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want))
+
+
 # --- 3, 5 -------------------------------------------------------------------------------
 
 
