@@ -5,8 +5,9 @@ randomised SVD of that matrix is taken in one distributed pass: every task multi
 rows by a Gaussian matrix and back, the products are added up, and a Nystroem step on the
 small result gives right singular vectors and singular values.  In the latent space, scaled
 by the singular values, passages of each item's length are compared with the item by cosine;
-words that all texts share carry no weight there.  A candidate is verified where it was
-found: first its word signature must not lack too many of the item's bits, which no leak
+words that all texts share carry no weight there.  No leak depends on that cosine: a passage
+that holds enough of an item's words holds one of its rarest, whatever stands around it, so
+passages with such a word are candidates too.  A candidate is verified where it was found: first its word signature must not lack too many of the item's bits, which no leak
 does; then the longest common subsequence of words with the item must cover most of the
 item, or somewhat less of it together with all words of the item's answer, its last words.
 
@@ -29,7 +30,7 @@ from .hashing import mix, prefix_sums, stretch_hashes
 #: Words of a chunk, hashed words, latent dimensions and extra ones for the sketch.
 CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 64, 8
 DIMS = 1 << DIM_BITS
-#: Least cosine of a candidate.
+#: Least cosine of a candidate that holds none of the item's rarest words.
 LEAST_COSINE = 0.28
 #: Share of an item's words in common order that proves a leak, alone or with the answer.
 ALONE, WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 5
@@ -194,7 +195,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found, block = None, []
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        return narrow.mapInArrow(_searcher(block, latent, docs.sparkSession), "doc_id long, item_id long, cosine double, common double, answer boolean")
+        return narrow.mapInArrow(_searcher(block, latent, idf, docs.sparkSession), "doc_id long, item_id long, cosine double, common double, answer boolean")
 
     rows = items.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").toLocalIterator()
     for row in rows:
@@ -207,7 +208,43 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found
 
 
-def _searcher(block: list[tuple[int, str]], latent: np.ndarray, spark):
+class Seeds:
+    """The rarest words of each item, so many that every leak of the item holds one.
+
+    A leak holds at least a share WITH_ANSWER of the item's words, so it lacks fewer places
+    than are taken here.
+    """
+
+    def __init__(self, item_words: list[list[int]], idf: np.ndarray):
+        pairs = set()
+        for i, item in enumerate(item_words):
+            n = len(item)
+            if n >= LEAST_WORDS:
+                least = next(k for k in range(n + 1) if k / n >= min(ALONE, WITH_ANSWER))
+                rarest = sorted(item, key=lambda w: (-idf[w >> 64 - DIM_BITS], w))[: n - least + 1]
+                pairs.update((w, i) for w in rarest)
+        held = sorted(pairs)
+        of_pair = np.array([w for w, _ in held], np.uint64)
+        self.words, first = np.unique(of_pair, return_index=True)
+        self.borders = np.append(first, len(held))
+        self.items = np.array([i for _, i in held], np.int64)
+        self.any = np.zeros(1 << 16, bool)
+        self.any[(self.words >> np.uint64(48)).astype(np.int64)] = True
+
+    def found(self, hashes: np.ndarray, chunk_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, item) for each place of a text that holds a rare word of an item."""
+        at = np.flatnonzero(self.any[(hashes >> np.uint64(48)).astype(np.int64)])
+        if not len(at) or not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word = np.minimum(np.searchsorted(self.words, hashes[at]), len(self.words) - 1)
+        same = self.words[word] == hashes[at]
+        at, word = at[same], word[same]
+        n = self.borders[word + 1] - self.borders[word]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(chunk_of[at], n), self.items[np.repeat(self.borders[word], n) + step]
+
+
+def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray, spark):
     hashes, owner = words([t for _, t in block])
     borders = np.searchsorted(owner, np.arange(len(block) + 1))
     x = np.zeros((len(block), latent.shape[1]), np.float32)
@@ -223,10 +260,10 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, spark):
     np.bitwise_or.at(signatures, (owner, word), bit)
     # a common subsequence of that share leaves out at most so many words, and so bits
     may_lack = np.floor((1 - min(ALONE, WITH_ANSWER)) * np.diff(borders) + 1e-9)
-    shared = spark.sparkContext.broadcast(([i for i, _ in block], item_words, x, by_size, latent, signatures, may_lack))
+    shared = spark.sparkContext.broadcast(([i for i, _ in block], item_words, x, by_size, latent, signatures, may_lack, Seeds(item_words, idf)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_words, x, by_size, table, signatures, may_lack = shared.value
+        ids, item_words, x, by_size, table, signatures, may_lack, seeds = shared.value
         for batch in text_slices(batches, "text", _SLICE):
             chunks = Chunks(batch.column(1).to_pylist())
             rows = chunks.times(table)
@@ -235,6 +272,9 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, spark):
             passage, size = rows.copy(), 1
             chunk_bits = chunks.signatures()
             bits = chunk_bits.copy()
+            first_chunk = np.searchsorted(chunks.owner, chunks.owner)
+            seed_chunk, seed_item = seeds.found(chunks.hashes, chunks.chunk_of)
+            place_of = np.zeros(len(item_words), np.int64)
             for wanted in sorted(by_size):
                 while size < wanted:  # a passage ends with its text
                     if n > size:
@@ -245,7 +285,15 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, spark):
                 own = by_size[wanted]
                 norm = np.maximum(np.linalg.norm(passage, axis=1), 1e-12)
                 cosines = (passage @ x[own].T) / norm[:, None]
-                near, which = np.nonzero(cosines >= LEAST_COSINE)
+                place_of[:] = -1
+                place_of[own] = np.arange(len(own))
+                mine = place_of[seed_item] >= 0
+                held = np.unique(seed_chunk[mine] * len(own) + place_of[seed_item[mine]])
+                back = np.arange(wanted)[:, None]  # passages that reach the chunk
+                starts, which = held // len(own) - back, np.broadcast_to(held % len(own), (wanted, len(held)))
+                inside = starts >= first_chunk[held // len(own)]
+                close = np.flatnonzero((cosines >= LEAST_COSINE).ravel())
+                near, which = np.divmod(np.union1d(starts[inside] * len(own) + which[inside], close), len(own))
                 items = np.array(own)[which]
                 lacking = np.bitwise_count(signatures[items] & ~bits[near]).sum(axis=1)
                 use = lacking <= may_lack[items]

@@ -256,6 +256,27 @@ def test_leaks(spark):
     assert decontamination.leaks(docs_of(spark, texts).limit(0), bench).count() == 0
 
 
+def test_no_leak_depends_on_its_surroundings(spark, monkeypatch):
+    # whatever outweighs an item in its passage, here everything: all cosines are zero
+    monkeypatch.setattr(decontamination, "randomised_svd", lambda docs, idf: (np.zeros((decontamination.DIMS, 4)), np.ones(4)))
+    r = random.Random(8)
+    filler = [" ".join(small_words(i, 200, 400)) for i in range(60)]
+    items = [" ".join(small_words(1000 + i, n, 400)) for i, n in enumerate([5, 6, 6, 8, 8, 12, 20, 20, 33, 50])]
+    texts, want = list(filler), set()
+    for i, item in enumerate(items):
+        w = item.split()
+        n = len(w)
+        shorter = w[: -(-4 * n // 5)]  # 0.8 without the answer
+        answered = sorted(r.sample(range(n - min(n, 5)), max(-(-3 * n // 5) - min(n, 5), 0))) + list(range(n - min(n, 5), n))
+        for planted in (w, shorter, [w[k] for k in answered]):
+            for around in range(4):
+                texts.append(f"w{around} " * (40 + around) + " ".join(planted) + f" w{around}" * 60)
+                want.add((len(texts) - 1, i))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.leaks(docs_of(spark, texts), table).collect()
+    assert want <= {(g["doc_id"], g["item_id"]) for g in got}
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
