@@ -160,17 +160,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, False)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in text_slices(batches, most=TEXT_SLICE):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")
+            encoded, ends = enc.encode(batch.column(1), end_id)
+            encoded = encoded.astype("<u4")
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                ids = encoded[a:b]
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for column, x in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.data))):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.trim()
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     return narrow.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")

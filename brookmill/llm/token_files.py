@@ -106,15 +106,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, True)
         width = np.dtype(enc.dtype).itemsize
-        end = np.array([end_id], enc.dtype).tobytes()
         state = {"shard": None, "segment": 0, "first": 0}
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
 
         def segment() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // width for x in ids], dtype=np.int64)
+            ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
             low_bits, low, high, selects = elias_fano(ends)
-            row = {"shard": state["shard"], "segment": state["segment"], "id_bytes": width, "first": state["first"], "n_ids": int(ends[-1]), "doc_ids": list(doc_ids), "low_bits": low_bits, "low": low, "high": high, "selects": selects, "ids": b"".join(ids)}
+            row = {"shard": state["shard"], "segment": state["segment"], "id_bytes": width, "first": state["first"], "n_ids": int(ends[-1]), "doc_ids": list(doc_ids), "low_bits": low_bits, "low": low, "high": high, "selects": selects, "ids": np.concatenate(ids).tobytes()}
             state["segment"] += 1
             state["first"] += int(ends[-1])
             ids.clear()
@@ -124,15 +123,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         held = 0
         for batch in text_slices(batches, most=TEXT_SLICE):
             shard_of = batch.column(2).to_pylist()
-            for doc_id, shard, raw in zip(batch.column(0).to_pylist(), shard_of, enc.encode(batch.column(1).to_pylist())):
+            encoded, ends = enc.encode(batch.column(1), end_id)
+            for doc_id, shard, a, b in zip(batch.column(0).to_pylist(), shard_of, ends[:-1].tolist(), ends[1:].tolist()):
                 if ids and (shard != state["shard"] or held >= SEGMENT_IDS or len(ids) >= SEGMENT_DOCS):
                     yield segment()
                     held = 0
                 if shard != state["shard"]:
                     state.update(shard=shard, segment=0, first=0)
-                ids.append(raw + end)
+                ids.append(encoded[a:b])
                 doc_ids.append(doc_id)
-                held += len(raw) // width + 1
+                held += b - a
         if ids:
             yield segment()
 

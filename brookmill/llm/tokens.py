@@ -1,180 +1,240 @@
 """Tokenizing whole texts inside Arrow tasks with the public tokenizers library.
 
-A text is cut only where the tokenizer's own splitting rule always cuts it, the pieces
-that have not been met are encoded by the library in one batch, and a bounded table of
-pieces is kept between batches.  Most words of a corpus repeat, so the library sees each
-of them once instead of once per occurrence.
+A text is cut only where the tokenizer's own splitting rule always cuts it.  The cuts and a
+64-bit hash of every piece are found for a whole slice of texts at once; the pieces that the
+worker has not met are encoded by the library in one batch, and a table of pieces, bounded in
+bytes, is kept between slices.  Most words of a corpus repeat, so the library sees each of
+them once instead of once per occurrence.  Texts that hold a string of a special token, or
+white space outside ASCII, are not cut at all.
+
+Two different pieces among the n of a table share a hash with probability below n² / 2**65,
+some 10**-7 for a full one.
 """
 
 from __future__ import annotations
 
 import re
-import string
 from array import array
-from collections import ChainMap
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces kept by one worker; the table is trimmed when it is full.
-MAX_PIECES = 1_500_000
-#: Pieces that stay when the table is trimmed.
-FIRST_PIECES = 300_000
-#: Marks that both rules part from a word before them, and how many runs of them are kept.
-MARKS, MAX_MARKS = string.punctuation, 10_000
-#: Bytes of text encoded at a time: more of them share their unknown pieces.
-TEXT_SLICE = 16 << 20
+from .hashing import mix, prefix_sums, stretch_hashes
+
+#: Bytes that the table of one worker may take.
+TABLE_BYTES = 48 << 20
+#: Bytes of text encoded at a time.
+TEXT_SLICE = 1 << 20
 #: Longer pieces are encoded but not kept.
-MAX_PIECE_CHARS = 64
-
-_UNSAFE_SPACE = re.compile(r"\s\s|^\s|\s$")
-#: White space to Python but not to the tokenizers' rules.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Pieces(dict):
-    """Piece -> ids as little-endian bytes."""
-
-    def __init__(self, tokenizer: Tokenizer, dtype: str, prefix: str, first: bool):
-        super().__init__()
-        self.tokenizer, self.dtype, self.prefix = tokenizer, dtype, prefix
-        self.marks: dict[str, bytes] = {}
-        self.border = np.zeros(tokenizer.get_vocab_size(), bool)
-        self.word_ends = not prefix and not first
-        for token, i in tokenizer.get_vocab().items():
-            self.border[i] = token.startswith("\u0120") if prefix else token.endswith("</w>")
-
-    def _encode(self, pieces: list[str], prefix: str) -> list[bytes]:
-        if prefix:
-            pieces = [prefix + p for p in pieces]
-        code = "H" if self.dtype == "<u2" else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Many words in one call: the first or last id of each word shows where it is."""
-        joined = " ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([self.prefix + joined], add_special_tokens=False)[0].ids, self.dtype)
-        at = np.flatnonzero(self.border[ids])
-        if len(at) != len(words):
-            return self._encode(words, self.prefix)
-        starts = at if self.prefix else np.concatenate([[0], at[:-1] + 1])
-        cuts = np.append(starts, len(ids)) * ids.itemsize
-        raw, cuts = ids.tobytes(), cuts.tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    @contextmanager
-    def holding(self, once: dict[str, bytes]) -> Iterator[None]:
-        """Knows these pieces too, for one batch."""
-        self.update(once)
-        yield
-        for p in once:
-            del self[p]
-
-    def unknown(self, pieces: set[str]) -> set[str]:
-        """The pieces to learn; the table is trimmed first if they would not fit."""
-        new = pieces.difference(self)
-        if len(self) + len(new) > MAX_PIECES:
-            self.trim()
-            new = pieces.difference(self)
-        return new
-
-    def trim(self) -> None:
-        """Keeps the pieces met first, which are mostly the frequent ones."""
-        if len(self) > FIRST_PIECES:
-            kept = list(islice(self.items(), FIRST_PIECES))
-            self.clear()
-            self.update(kept)
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Encodes pieces that are not known; returns those too long to keep."""
-        # a word and the marks after it are always parted, so a marked word costs no call
-        marked: list[tuple[str, str, str]] = []
-        words: set[str] = set()
-        for p in new:
-            word = p.rstrip(MARKS)
-            if word != p and word.isalpha() and max(word) <= "\xff":
-                marked.append((p, word, p[len(word) :]))
-                words.add(word)
-            else:
-                words.add(p)
-        once: dict[str, bytes] = {}
-        words.difference_update(self)
-        # letters alone are one word to both rules
-        plain = [p for p in words if p.isalpha() and len(p) <= MAX_PIECE_CHARS and max(p) <= "\xff"] if self.prefix or self.word_ends else []
-        for start in range(0, len(plain), 2_000):
-            part = plain[start : start + 2_000]
-            self.update(zip(part, self._encode_words(part)))
-        words = list(words.difference(plain))
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            for p, ids in zip(part, self._encode(part, self.prefix)):
-                (self if len(p) <= MAX_PIECE_CHARS else once)[p] = ids
-        if marked:
-            unknown = list({m for _, _, m in marked}.difference(self.marks))
-            self.marks.update(zip(unknown, self._encode(unknown, "")))
-            for p, word, mark in marked:
-                ids = (self[word] if word in self else once[word]) + self.marks[mark]
-                (self if len(p) <= MAX_PIECE_CHARS else once)[p] = ids
-            if len(self.marks) > MAX_MARKS:
-                self.marks.clear()
-        return once
+MAX_PIECE_BYTES = 64
+
+_ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD_SPACE = np.zeros(256, bool)
+_WORD_SPACE[[9, 10, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK &= ~_LETTER
+_MARK[48:58] = False
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts end to end, and each one's first place; a null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    borders = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[borders[0] : borders[-1]], borders - borders[0]
+
+
+class _Table:
+    """Sorted piece hashes with each one's ids in a common pool, and when it was last used."""
+
+    def __init__(self, dtype: str):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.pool = np.zeros(0, np.uint64), np.zeros(0, self.dtype)
+        self.starts, self.lengths, self.used = (np.zeros(0, np.int32) for _ in range(3))
+
+    def bytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.pool, self.starts, self.lengths, self.used))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ascending keys are, and which of them are held."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray, now: int) -> None:
+        """Takes up ascending keys that aren't held; the least recently used half goes if there is no room."""
+        if self.bytes() + keys.nbytes + ids.nbytes + 12 * len(keys) > TABLE_BYTES:
+            self._keep(self.used > np.median(self.used))
+        at = np.searchsorted(self.keys, keys)
+        starts = len(self.pool) + np.cumsum(lengths) - lengths
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, starts.astype(np.int32))
+        self.lengths = np.insert(self.lengths, at, lengths.astype(np.int32))
+        self.used = np.insert(self.used, at, np.int32(now))
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _keep(self, chosen: np.ndarray) -> None:
+        lengths = self.lengths[chosen]
+        self.pool = self.pool[_stretches(self.starts[chosen], lengths)]
+        self.keys, self.used, self.lengths = self.keys[chosen], self.used[chosen], lengths
+        self.starts = (np.cumsum(lengths) - lengths).astype(np.int32)
+
+
+def _stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all stretches, one after the other."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class TextEncoder:
-    """Encodes lists of texts to bytes of ids.
+    """Encodes slices of texts to ids.
 
-    ``by_space``: the rule keeps a single space with the word after it (byte-level rule);
-    texts are cut before single spaces that have a visible character on both sides.
-    Otherwise white space only separates, and texts are cut at any white space.
-    Strings of special tokens inside a text count as ordinary text.
+    ``by_space``: the rule keeps white space (byte-level rule), and a piece is white space with
+    the visible run after it.  Otherwise white space only separates, and pieces are the visible
+    runs.  Under both, a mark after a letter begins a piece.
     """
 
     def __init__(self, path: str, by_space: bool):
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.by_space = by_space
-        self.line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
-        self.first, self.rest = _Pieces(tokenizer, self.dtype, "", by_space), _Pieces(tokenizer, self.dtype, " ", False)
-
-    def trim(self) -> None:
-        """Gives memory back at the end of a task whose worker will do other work next."""
-        self.first.trim()
-        self.rest.trim()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.by_space:
-            cut = [(t or "").split(" ") for t in texts]
-            heads = [c.pop(0) for c in cut]
-            new, new_first = self.rest.unknown(set().union(*cut)), self.first.unknown(set(heads))
-            if any(p != p.strip() or not p for p in new) or any(p != p.strip() or (not p) for p in new_first):
-                # some space has white space beside it; a piece that is known never has
-                cut = [_SAFE_SPACE.split(t) if _UNSAFE_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-                heads = [c.pop(0) for c in cut]
-                new, new_first = self.rest.unknown(set().union(*cut)), self.first.unknown(set(heads))
-            # a single line end between visible characters is always a piece of its own
-            lines = {p: p.split("\n") for p in new if "\n" in p and p.split() == p.split("\n")}
-            if lines:
-                new = new.difference(lines).union(x[0] for x in lines.values()).difference(self.rest)
-                new_first = new_first.union(*(x[1:] for x in lines.values())).difference(self.first)
-            long_rest, long_first = self.rest.learn(new), self.first.learn(new_first)
-            if lines:
-                rest, first = ChainMap(self.rest, long_rest), ChainMap(self.first, long_first)
-                long_rest |= {p: rest[x[0]] + b"".join(self.line_end + first[y] for y in x[1:]) for p, x in lines.items()}
-            with self.rest.holding(long_rest), self.first.holding(long_first):
-                return [self.first[head] + b"".join(map(self.rest.__getitem__, c)) for head, c in zip(heads, cut)]
-        cut = [t.split() if not _ODD_SPACE.search(t) else _PLAIN_SPACE.split(t) for t in (t or "" for t in texts)]
-        with self.first.holding(self.first.learn(self.first.unknown(set().union(*cut)))):
-            return [b"".join(map(self.first.__getitem__, c)) for c in cut]
-
-
-@lru_cache(maxsize=4)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
+        #: ids that begin a word of letters after a space, or end one
+        self.border = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.border[i] = token.startswith("Ġ") if by_space else token.endswith("</w>")
+        self.table, self.slices = _Table(self.dtype), 0
+
+    def _uncut(self, texts: pa.Array, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that the library must see whole."""
+        raw = data.tobytes()
+        suspect = np.zeros(len(texts), bool)
+        if b"<" in raw:
+            hits = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(data == 60)])[borders]) > 0)
+            suspect[hits] = True
+        if self.by_space and not raw.isascii():
+            suspect |= np.diff(np.concatenate([[0], np.cumsum(data >= 128)])[borders]) > 0
+        out = []
+        for i in np.flatnonzero(suspect).tolist():
+            text = raw[borders[i] : borders[i + 1]].decode("utf-8", "surrogatepass")
+            if self.special.search(text) or (self.by_space and _ODD_SPACE.search(text)):
+                out.append(i)
+        return np.array(out, np.int64)
+
+    def _pieces(self, texts: pa.Array, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of all pieces in order; none is empty."""
+        n = len(data)
+        space = (_SPACE if self.by_space else _WORD_SPACE)[data]
+        cut = np.zeros(n + 1, bool)
+        cut[1:n] = (_LETTER[data[:-1]] & _MARK[data[1:]]) | (~space[:-1] & space[1:])
+        if self.by_space:  # a single line end between visible characters stands alone
+            cut[2:n] |= (data[1:-1] == 10) & ~space[:-2] & ~space[2:]
+        else:
+            cut[1:n] |= space[:-1] & ~space[1:]
+        uncut = self._uncut(texts, data, borders)
+        for i in uncut.tolist():
+            cut[borders[i] : borders[i + 1]] = False
+        cut[borders[:-1][np.diff(borders) > 0]] = True
+        cut[n] = False
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], n)
+        if not self.by_space and len(starts):
+            whole = np.zeros(n + 1, bool)
+            whole[borders[uncut]] = True
+            use = ~space[starts] | whole[starts]
+            starts, ends = starts[use], ends[use]
+        return starts, ends
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and how many each has."""
+        prefix = " " if self.by_space else ""
+        # words of Latin letters go through the library in long joined texts: the first or
+        # last id of each shows where it is
+        plain = [i for i, p in enumerate(pieces) if len(p) <= MAX_PIECE_BYTES and p[len(prefix) :].isalpha() and p.startswith(prefix) and max(p) <= "\xff"]
+        ids, lengths, owner = array("I"), [], []
+        rest = np.setdiff1d(np.arange(len(pieces)), plain, assume_unique=True).tolist()
+        for begin in range(0, len(plain), 2000):
+            part = plain[begin : begin + 2000]
+            joined = ("" if self.by_space else " ").join([pieces[i] for i in part])
+            got = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            at = np.flatnonzero(self.border[got])
+            if len(at) == len(part):
+                lengths += np.diff(np.append(at, len(got)) if self.by_space else np.concatenate([[-1], at])).tolist()
+                owner += part
+                ids.extend(got)
+            else:
+                rest += part
+        for begin in range(0, len(rest), 20_000):
+            part = rest[begin : begin + 20_000]
+            for e in self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False):
+                got = e.ids
+                ids.extend(got)
+                lengths.append(len(got))
+            owner += part
+        order = np.argsort(np.array(owner, np.int64))
+        lengths = np.array(lengths, np.int64)
+        starts = np.cumsum(lengths) - lengths
+        return np.array(ids, self.dtype)[_stretches(starts[order], lengths[order])], lengths[order]
+
+    def encode(self, texts: pa.Array | list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each followed by ``end_id`` if there is one, and the
+        texts' ends (first 0)."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        data, borders = _bytes_of(texts)
+        starts, ends = self._pieces(texts, data, borders)
+        h = prefix_sums(data)
+        keys = mix(stretch_hashes(h, starts, ends) + (ends - starts).astype(np.uint64))
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        unique, one = ordered[first], order[first]
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(first) - 1
+        at, known = self.table.find(unique)
+        new = np.flatnonzero(~known)
+        raw = data.tobytes()
+        new_starts, new_ends = starts[one[new]], ends[one[new]]
+        new_ids, new_lengths = self._learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(new_starts.tolist(), new_ends.tolist())])
+        place, length = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        if known.any():
+            place[known], length[known] = self.table.starts[at[known]], self.table.lengths[at[known]]
+            self.slices += 1
+            self.table.used[at[known]] = self.slices
+        first_new = np.cumsum(new_lengths) - new_lengths
+        place[new], length[new] = len(self.table.pool) + first_new, new_lengths
+        count = length[back]
+        ids = np.concatenate([self.table.pool, new_ids])[_stretches(place[back], count)]
+        text_ends = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, borders)]
+        keep = np.flatnonzero(new_ends - new_starts <= MAX_PIECE_BYTES)
+        if len(keep):
+            self.table.add(unique[new[keep]], new_ids[_stretches(first_new[keep], new_lengths[keep])], new_lengths[keep], self.slices)
+        if end_id is None:
+            return ids, text_ends
+        marks = text_ends[1:] + np.arange(len(texts))
+        out = np.full(len(ids) + len(texts), end_id, ids.dtype)
+        own = np.ones(len(out), bool)
+        own[marks] = False
+        out[own] = ids
+        return out, np.concatenate([[0], marks + 1])
+
+
+@lru_cache(maxsize=2)
 def encoder(path: str, by_space: bool) -> TextEncoder:
     """One encoder for each Python worker, which Spark reuses for many tasks."""
     return TextEncoder(path, by_space)
