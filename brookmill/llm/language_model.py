@@ -4,9 +4,11 @@ Training counts of single tokens and of pairs are quantised to levels, level q s
 counts of 2**(q-1) and more.  For a token or pair of level q the filter holds the q keys
 (n-gram, 1) ... (n-gram, q); a count is read by probing levels upwards until one is missing,
 so a false answer can only raise a count, and rarely by more than one level.  The filter has
-a fixed number of bits, a parameter, which bounds what is broadcast whatever the corpus;
-with more n-grams its answers get less sharp.  A pair's probability mixes its own share of
-the history's count with the token's smoothed share of the corpus.
+``BITS_PER_KEY`` bits for every key that it holds, bucket by bucket, so that the share of
+false answers is the same for any corpus.  Up to ``BROADCAST_BITS`` it is broadcast; a larger
+one stays in its buckets, and the keys of each slice of texts are probed there, with the same
+answers.  A pair's probability mixes its own share of the history's count with the token's
+smoothed share of the corpus.
 
 N-grams travel as 64-bit hashes in sorted arrays, one for each bucket and task, not as rows.
 Exact token counts for the base score need no broadcast of the vocabulary: a bounded set of
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import fold_of, parallelism, text_slices, written
 from .hashing import HASH_SLICE, mix, pair_hash, words_of
 
-#: Bits of the filter, hash functions of a key, highest level of a count.
-FILTER_BITS, PROBES, TOP_LEVEL = 1 << 29, 3, 40
+#: Bits of the filter for each key, hash functions of a key, highest level of a count: about
+#: 1 % of keys that are not held read as held.
+BITS_PER_KEY, PROBES, TOP_LEVEL = 12, 3, 40
+#: Bits of the largest filter that is broadcast.
+BROADCAST_BITS = 1 << 30
 #: Frequent words that are broadcast with their exact counts.
 HEAD_WORDS = 1 << 16
 #: Share of the pair's own estimate.
@@ -97,46 +102,73 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 class FrequencyFilter:
-    """Bits addressed by bucket, so that each bucket's task sets its own part."""
+    """Bits of all buckets end to end; each bucket's task sets its own part."""
 
-    def __init__(self, bits: np.ndarray, buckets: int):
-        self.bits, self.buckets = bits, buckets
-        self.share = len(bits) * 8 // buckets
+    def __init__(self, parts: list[np.ndarray]):
+        self.bits = np.concatenate([*parts, np.zeros(1, np.uint8)])
+        self.share = np.array([8 * len(p) for p in parts], np.int64)
+        self.base = np.cumsum(self.share) - self.share
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, probe: int, share: int) -> np.ndarray:
+    def places(keys: np.ndarray, level: int, probe: int, share: np.ndarray | int) -> np.ndarray:
         """Bit numbers within the bucket."""
-        return (mix(keys + np.uint64((level << 8 | probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(share)).astype(np.int64)
+        mixed = mix(keys + np.uint64((level << 8 | probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        return ((mixed >> np.uint64(32)) * np.asarray(share, np.uint64) >> np.uint64(32)).astype(np.int64)
 
     @classmethod
-    def part(cls, keys: np.ndarray, counts: np.ndarray, share: int) -> np.ndarray:
-        on = np.zeros(share, bool)
+    def part(cls, keys: np.ndarray, counts: np.ndarray, bits_per_key: int = BITS_PER_KEY) -> np.ndarray:
+        """The bits of one bucket, sized for what it holds."""
         levels = np.minimum(np.floor(np.log2(counts)).astype(int) + 1, TOP_LEVEL)
+        share = max(-(-int(levels.sum()) * bits_per_key // 8), 1) * 8
+        on = np.zeros(share, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             chosen = keys[levels >= level]
             for probe in range(PROBES):
                 on[cls.places(chosen, level, probe, share)] = True
         return np.packbits(on, bitorder="little")
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key by probing upwards; 0 if it isn't held."""
+    def levels(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The level of each key by probing upwards in its bucket; 0 if it isn't held."""
         out = np.zeros(len(keys), np.int8)
         alive = np.arange(len(keys))
-        base = _bucket_of(keys, self.buckets) * self.share
+        base, share = self.base[bucket], self.share[bucket]
         for level in range(1, TOP_LEVEL + 1):
             for probe in range(PROBES):
-                at = base[alive] + self.places(keys[alive], level, probe, self.share)
-                alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+                at = base[alive] + self.places(keys[alive], level, probe, share[alive])
+                alive = alive[((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0) & (share[alive] > 0)]
             if not len(alive):
                 break
             out[alive] = level
         return out
 
 
+#: The count that a level stands for.
+ESTIMATE = np.concatenate([[0.0, 1.0], 1.4 * 2.0 ** np.arange(1, TOP_LEVEL)])
+
+
+def _log_probabilities(tokens: np.ndarray, history: np.ndarray, level_of, n: int, v: int) -> np.ndarray:
+    """log10 of each token's probability after its history; ``level_of`` takes different keys in order."""
+    unique, back = np.unique(tokens, return_inverse=True)
+    single = ESTIMATE[level_of(unique)]
+    c1 = single[back]
+    c0 = np.concatenate([[single[np.searchsorted(unique, END)]], c1[:-1]]) if len(tokens) else c1
+    pairs, back = np.unique(pair_hash(history, tokens), return_inverse=True)
+    c2 = np.minimum(ESTIMATE[level_of(pairs)][back], c0)
+    p = PAIR_WEIGHT * c2 / np.maximum(c0, 1) + (1 - PAIR_WEIGHT) * (np.minimum(c1, n) + 1) / (n + v + 1)
+    return np.log10(np.minimum(p, 1.0))
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Each bucket that ascending keys are in, and where."""
+    borders = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(borders)).tolist():
+        yield b, slice(borders[b], borders[b + 1])
+
+
 _MERGED = "bucket int, total long, distinct long, head_keys binary, head_counts binary, keys binary, counts binary, part binary"
 
 
-def _merge(counted: DataFrame, buckets: int, share: int) -> DataFrame:
+def _merge(counted: DataFrame, buckets: int, bits_per_key: int) -> DataFrame:
     """One row for each bucket: its exact token counts, its most frequent words, its part of the filter."""
     head = -(-HEAD_WORDS // buckets)
 
@@ -150,7 +182,7 @@ def _merge(counted: DataFrame, buckets: int, share: int) -> DataFrame:
                 parts.clear()
             keys, counts = both["1"]
             top = np.sort(np.argsort(-counts, kind="stable")[:head])
-            part = FrequencyFilter.part(np.concatenate([keys, both["2"][0]]), np.concatenate([counts, both["2"][1]]), share)
+            part = FrequencyFilter.part(np.concatenate([keys, both["2"][0]]), np.concatenate([counts, both["2"][1]]), bits_per_key)
             row = {"bucket": bucket, "total": int(counts.sum()), "distinct": len(keys), "head_keys": keys[top].tobytes(), "head_counts": counts[top].tobytes(), "keys": keys.tobytes(), "counts": counts.tobytes(), "part": part.tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=_MERGED_ARROW)
 
@@ -170,63 +202,69 @@ def _merge(counted: DataFrame, buckets: int, share: int) -> DataFrame:
 _MERGED_ARROW = pa.schema([("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), *((c, pa.binary()) for c in ("head_keys", "head_counts", "keys", "counts", "part"))])
 
 _SCORED_ARROW = pa.schema([
-    ("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()),
+    ("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()), ("probes", pa.binary()), ("tokens", pa.binary()),
     ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))),
 ])
-_SCORED = "batch long, bucket int, keys binary, texts binary, times binary, docs array<struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"
+_DOCS = "array<struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"
+_SCORED = f"batch long, bucket int, keys binary, texts binary, times binary, probes binary, tokens binary, docs {_DOCS}"
+_ANSWER = "batch long, bucket int, texts binary, known binary, logs binary, levels binary"
+_ANSWER_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("texts", "known", "logs", "levels"))])
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits: int = FILTER_BITS) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key: int = BITS_PER_KEY, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document.
 
     The model learns from documents whose fold, crc32 of the id as text modulo ``folds``, is
     not ``held_out``; a row with a null id counts as learned from.  A null or empty text is
     one end token.  Rows that repeat an id are scored each on its own.  If nothing is learned
     from, all counts are zero.  Other columns are ignored; an empty table gives no rows.
+    A filter of more than ``broadcast_bits`` bits is probed where it lies.
     """
     spark = docs.sparkSession
     buckets = 4 * parallelism(spark)
-    share = -(-bits // buckets // 8) * 8
     held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held)
-    merged = written(_merge(_count(rows.where("not held_out"), buckets), buckets, share), "ngram-counts")
-    parts = np.zeros(buckets * share // 8, np.uint8)
-    heads, n, v = [], 0, 0
-    for r in merged.select("bucket", "total", "distinct", "head_keys", "head_counts", "part").toLocalIterator():
-        parts[r["bucket"] * share // 8 : (r["bucket"] + 1) * share // 8] = np.frombuffer(r["part"], np.uint8)
+    merged = written(_merge(_count(rows.where("not held_out"), buckets), buckets, bits_per_key), "ngram-counts")
+    n, v, filter_bytes = (x or 0 for x in merged.agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("part"))).first())
+    sharded = 8 * filter_bytes > broadcast_bits
+    parts = [np.zeros(0, np.uint8)] * buckets
+    heads = []
+    for r in merged.select("bucket", "head_keys", "head_counts", *([] if sharded else ["part"])).toLocalIterator():
         heads.append((np.frombuffer(r["head_keys"], "<u8"), np.frombuffer(r["head_counts"], "<i8")))
-        n, v = n + r["total"], v + r["distinct"]
+        if not sharded:
+            parts[r["bucket"]] = np.frombuffer(r["part"], np.uint8)
     head_keys = np.concatenate([k for k, _ in heads] or [np.zeros(0, np.uint64)])
     order = np.argsort(head_keys)
     head_keys, head_counts = head_keys[order], np.concatenate([c for _, c in heads] or [np.zeros(0, np.int64)])[order]
-    model = spark.sparkContext.broadcast((parts, head_keys, head_counts))  # bits / 8 bytes and HEAD_WORDS pairs
+    # at most broadcast_bits / 8 bytes and HEAD_WORDS pairs
+    model = spark.sparkContext.broadcast((None if sharded else FrequencyFilter(parts), head_keys, head_counts))
+    parts.clear()
     base_log = float(np.log10(n + v + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit_array, keys_of_head, counts_of_head = model.value
-        filter_ = FrequencyFilter(bit_array, buckets)
-        estimate = np.concatenate([[0.0], 1.4 * 2.0 ** np.arange(TOP_LEVEL)])
-        estimate[1] = 1.0
+        filter_, keys_of_head, counts_of_head = model.value
         partition = TaskContext.get().partitionId()
         for number, batch in enumerate(text_slices(batches, "text", HASH_SLICE)):
+            batch_id = (partition << 32) + number
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             tokens, owner, history = _tokens(texts)
+            m, out = len(texts), []
+            if sharded:
+                scores = np.zeros(m)
+                probes = np.unique(np.concatenate([tokens, pair_hash(history, tokens)]))
+                out = [{"batch": batch_id, "bucket": b, "probes": probes[part].tobytes()} for b, part in _by_bucket(probes, buckets)]
+            else:
+                scores = np.bincount(owner, _log_probabilities(tokens, history, lambda keys: filter_.levels(keys, _bucket_of(keys, buckets)), n, v), m)
             unique, back = np.unique(tokens, return_inverse=True)
-            single = estimate[filter_.levels(unique)]
-            c1 = single[back]
-            c0 = np.concatenate([[single[np.searchsorted(unique, END)]], c1[:-1]])
-            c2 = np.minimum(estimate[filter_.levels(pair_hash(history, tokens))], c0)
-            p = PAIR_WEIGHT * c2 / np.maximum(c0, 1) + (1 - PAIR_WEIGHT) * (np.minimum(c1, n) + 1) / (n + v + 1)
             at = np.minimum(np.searchsorted(keys_of_head, unique), max(len(keys_of_head) - 1, 0))
             in_head = (keys_of_head[at] == unique) if len(keys_of_head) else np.zeros(len(unique), bool)
             exact = np.where(in_head, counts_of_head[at] if len(keys_of_head) else 0, 0)
             in_head_token = in_head[back]
-            m = len(texts)
             base = np.bincount(owner, np.where(in_head_token, np.log10(exact + 1.0)[back], 0.0), m)
             lengths = np.bincount(owner, minlength=m)
             known = np.bincount(owner[in_head_token], minlength=m)
-            scores = np.bincount(owner, np.log10(np.minimum(p, 1.0)), m)
-            out = [{"batch": (partition << 32) + number, "docs": [dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "score"), x)) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), lengths.tolist(), known.tolist(), (base - lengths * base_log).tolist(), scores.tolist())]}]
+            about = [dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "score"), x)) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), lengths.tolist(), known.tolist(), (base - lengths * base_log).tolist(), scores.tolist())]
+            out.append({"batch": batch_id, "docs": about, "tokens": tokens.tobytes() if sharded else None})
             # words that aren't broadcast are looked up where their counts are
             rest = np.flatnonzero(~in_head_token)
             rest = rest[np.lexsort((owner[rest], tokens[rest]))]
@@ -234,26 +272,30 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits: int =
             first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (texts_of[1:] != texts_of[:-1])])) if len(rest) else np.zeros(0, int)
             times = np.diff(np.append(first, len(rest)))
             keys, texts_of = keys[first], texts_of[first]
-            borders = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(borders)).tolist():
-                part = slice(borders[b], borders[b + 1])
-                out.append({"batch": (partition << 32) + number, "bucket": b, "keys": keys[part].tobytes(), "texts": texts_of[part].astype("<u4").tobytes(), "times": times[part].astype("<u4").tobytes()})
+            for b, part in _by_bucket(keys, buckets):
+                out.append({"batch": batch_id, "bucket": b, "keys": keys[part].tobytes(), "texts": texts_of[part].astype("<u4").tobytes(), "times": times[part].astype("<u4").tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=_SCORED_ARROW)
 
     scored = written(rows.mapInArrow(score, _SCORED), "scored")
     empty = F.lit(None).cast("binary")
-    asked = scored.where("bucket is not null").select("bucket", F.lit(1).alias("turn"), "batch", "keys", "texts", "times")
-    counts = merged.select("bucket", F.lit(0).alias("turn"), F.lit(-1).cast("bigint").alias("batch"), "keys", F.col("counts").alias("texts"), empty.alias("times"))
+    asked = scored.where("bucket is not null").select("bucket", F.lit(1).alias("turn"), "batch", "keys", "texts", "times", "probes")
+    counts = merged.select("bucket", F.lit(0).alias("turn"), F.lit(-1).cast("bigint").alias("batch"), "keys", F.col("counts").alias("texts"), empty.alias("times"), (F.col("part") if sharded else empty).alias("probes"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        bucket, keys, counts, filter_ = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), FrequencyFilter([np.zeros(0, np.uint8)])
         for arrow in batches:
             answers = []
-            for b, turn, batch, k, t, times in zip(*(c.to_pylist() for c in arrow.columns)):
+            for b, turn, batch, k, t, times, probes in zip(*(c.to_pylist() for c in arrow.columns)):
                 if b != bucket:
-                    bucket, keys, counts = b, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    bucket, keys, counts, filter_ = b, np.zeros(0, np.uint64), np.zeros(0, np.int64), FrequencyFilter([np.zeros(0, np.uint8)])
                 if turn == 0:
                     keys, counts = np.frombuffer(k, "<u8"), np.frombuffer(t, "<i8")
+                    if probes is not None:
+                        filter_ = FrequencyFilter([np.frombuffer(probes, np.uint8)])
+                    continue
+                if probes is not None:
+                    wanted = np.frombuffer(probes, "<u8")
+                    answers.append({"batch": batch, "bucket": b, "levels": filter_.levels(wanted, np.zeros(len(wanted), int)).tobytes()})
                     continue
                 wanted, text, n_times = np.frombuffer(k, "<u8"), np.frombuffer(t, "<u4"), np.frombuffer(times, "<u4")
                 at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
@@ -261,32 +303,41 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits: int =
                 if len(hit):
                     own, back = np.unique(text[hit], return_inverse=True)
                     found = counts[at[hit]]
-                    answers.append({"batch": batch, "texts": own.astype("<u4").tobytes(), "known": np.bincount(back, n_times[hit]).astype("<i8").tobytes(), "logs": np.bincount(back, n_times[hit] * np.log10(found + 1.0)).tobytes()})
-            yield pa.RecordBatch.from_pylist(answers, schema=pa.schema([("batch", pa.int64()), ("texts", pa.binary()), ("known", pa.binary()), ("logs", pa.binary())]))
+                    answers.append({"batch": batch, "bucket": b, "texts": own.astype("<u4").tobytes(), "known": np.bincount(back, n_times[hit]).astype("<i8").tobytes(), "logs": np.bincount(back, n_times[hit] * np.log10(found + 1.0)).tobytes()})
+            yield pa.RecordBatch.from_pylist(answers, schema=_ANSWER_ARROW)
 
-    answers = asked.union(counts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "turn", "batch").mapInArrow(look_up, "batch long, texts binary, known binary, logs binary")
-    no_docs = F.lit(None).cast(scored.schema["docs"].dataType)
-    parts_of_batch = scored.where("docs is not null").select("batch", F.lit(0).alias("turn"), "docs", empty.alias("texts"), empty.alias("known"), empty.alias("logs"))
-    parts_of_batch = parts_of_batch.union(answers.select("batch", F.lit(1).alias("turn"), no_docs, "texts", "known", "logs"))
+    answers = asked.union(counts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "turn", "batch").mapInArrow(look_up, _ANSWER)
+    parts_of_batch = scored.where("docs is not null").select("batch", F.lit(-1).alias("bucket"), "docs", "tokens", *(empty.alias(c) for c in ("texts", "known", "logs", "levels")))
+    parts_of_batch = parts_of_batch.union(answers.select("batch", "bucket", F.lit(None).cast(_DOCS), empty, "texts", "known", "logs", "levels"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: list[dict] = []
         known, base = np.zeros(0, np.int64), np.zeros(0)
+        tokens, levels = None, []
 
         def out() -> pa.RecordBatch:
             columns = {k: [d[k] for d in current] for k in ("doc_id", "held_out", "n_tokens", "score")}
+            scores = columns["score"]
+            if tokens is not None:
+                history = np.concatenate([[END], tokens[:-1]])
+                probed, held = np.unique(np.concatenate([tokens, pair_hash(history, tokens)])), np.frombuffer(b"".join(levels), np.int8)
+                logs = _log_probabilities(tokens, history, lambda keys: held[np.searchsorted(probed, keys)], n, v)
+                scores = np.bincount(np.repeat(np.arange(len(current)), columns["n_tokens"]), logs, len(current))
             return pa.RecordBatch.from_arrays(
-                [pa.array(columns["doc_id"], pa.int64()), pa.array(columns["held_out"], pa.bool_()), pa.array(columns["n_tokens"], pa.int64()), pa.array(known), pa.array([n] * len(current), pa.int64()), pa.array(base), pa.array(columns["score"], pa.float64())],
+                [pa.array(columns["doc_id"], pa.int64()), pa.array(columns["held_out"], pa.bool_()), pa.array(columns["n_tokens"], pa.int64()), pa.array(known), pa.array([n] * len(current), pa.int64()), pa.array(base), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
         for arrow in batches:
             for row in arrow.to_pylist():
-                if row["turn"] == 0:
+                if row["docs"] is not None:
                     if current:
                         yield out()
-                    current = row["docs"]
+                    current, levels = row["docs"], []
+                    tokens = None if row["tokens"] is None else np.frombuffer(row["tokens"], "<u8")
                     known, base = np.array([d["n_known"] for d in current], np.int64), np.array([d["base"] for d in current], float)
+                elif row["levels"] is not None:
+                    levels.append(row["levels"])
                 else:
                     texts = np.frombuffer(row["texts"], "<u4")
                     known[texts] += np.frombuffer(row["known"], "<i8")
@@ -294,5 +345,5 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits: int =
         if current:
             yield out()
 
-    dealt = parts_of_batch.repartition(parallelism(spark), "batch").sortWithinPartitions("batch", "turn")
+    dealt = parts_of_batch.repartition(parallelism(spark), "batch").sortWithinPartitions("batch", "bucket")
     return dealt.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

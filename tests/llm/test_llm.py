@@ -347,25 +347,40 @@ def test_many_slices_agree_with_one(spark, monkeypatch):
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HEAD_WORDS", 20)
     texts = AWKWARD + [" ".join(small_words(i, 100, 60)) for i in range(60)]
-    got = language_model.score_texts(docs_of(spark, texts), bits=1 << 20).orderBy("doc_id").collect()
     lists = [[*words(t), None] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     c = collections.Counter(w for t, h in zip(lists, held) if not h for w in t)
+    pairs = collections.Counter(p for t, h in zip(lists, held) if not h for p in zip([None, *t], t))
     n, v = sum(c.values()), len(c)
-    for r, t, h in zip(got, lists, held):
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(t), sum(w in c for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), abs_tol=1e-9)
-        assert r["score"] < 0
-    assert language_model.score_texts(docs_of(spark, texts).limit(0), bits=1 << 20).count() == 0
-
-
-def test_filter_levels():
-    keys = np.random.default_rng(0).integers(0, 1 << 64, 2000, np.uint64)
-    counts = np.random.default_rng(1).integers(1, 100, 2000)
-    share = 1 << 18
-    part = language_model.FrequencyFilter.part(keys, counts, share)
-    got = language_model.FrequencyFilter(part, 1).levels(keys)
-    assert (got >= np.floor(np.log2(counts)).astype(int) + 1).all() and (got == np.floor(np.log2(counts)).astype(int) + 1).mean() > 0.98
+    about = lambda count: 0 if count == 0 else 1 if count == 1 else 1.4 * 2 ** (count.bit_length() - 1)
+
+    def score(tokens):
+        total = 0
+        for h, w in zip([None, *tokens], tokens):
+            c0 = about(c[h])
+            total += math.log10(min(0.6 * min(about(pairs[h, w]), c0) / max(c0, 1) + 0.4 * (min(about(c[w]), n) + 1) / (n + v + 1), 1))
+        return total
+
+    for most_bits in (1 << 40, 0):  # broadcast, and probed where the filter lies
+        got = language_model.score_texts(docs_of(spark, texts), bits_per_key=4000, broadcast_bits=most_bits).orderBy("doc_id").collect()
+        for r, t, h in zip(got, lists, held):
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(t), sum(w in c for w in t), n)
+            assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), abs_tol=1e-9)
+            assert math.isclose(r["score"], score(t), abs_tol=1e-6)
+    assert language_model.score_texts(docs_of(spark, texts).limit(0)).count() == 0
+    unlearned = language_model.score_texts(docs_of(spark, AWKWARD).where("false").union(docs_of(spark, ["a b"], [9])), folds=1, held_out=0).first()
+    assert (unlearned["train_tokens"], unlearned["n_known"], unlearned["n_tokens"]) == (0, 0, 3)
+
+
+@pytest.mark.parametrize("size", [2_000, 20_000, 200_000])
+def test_filter_answers_alike_at_every_load(size):
+    r = np.random.default_rng(size)
+    keys, counts = r.integers(0, 1 << 64, size, np.uint64), r.integers(1, 100, size)
+    filter_ = language_model.FrequencyFilter([language_model.FrequencyFilter.part(keys, counts)])
+    got, want = filter_.levels(keys, np.zeros(size, int)), np.floor(np.log2(counts)).astype(int) + 1
+    assert (got >= want).all() and 0.975 < (got == want).mean()
+    unseen = filter_.levels(r.integers(0, 1 << 64, 50_000, np.uint64), np.zeros(50_000, int))
+    assert 0.005 < (unseen > 0).mean() < 0.02
 
 
 # --- 9, 10 ------------------------------------------------------------------------------
