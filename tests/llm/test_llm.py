@@ -173,16 +173,56 @@ def test_language(spark):
         for _ in range(40):
             texts.append(" ".join(word(alphabet) for _ in range(30)))
             langs.append(lang)
-    odd = [None, "", "123 !!", "日本語の文章です " * 20]
-    got = language_id.predict_language(docs_of(spark, texts + odd, None, langs + ["aa"] * 3 + [None])).orderBy("doc_id").collect()
+    odd = [None, "", "² ½ Ⅷ 12!", "".join(chr(0x4E00 + i) for i in range(100)), "".join(chr(0x430 + i * i % 32) + " " * (i % 5 == 0) for i in range(200)) + "".join(chr(0x430 + i * i * i % 31) for i in range(200)), " ".join(word("uvwxyzst") for _ in range(300))]
+    got = language_id.predict_language(docs_of(spark, texts + odd, None, langs + ["aa"] * 3 + [None] * 3)).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in got[: len(texts)]] == langs and not any(r["rejected"] for r in got[: len(texts)])
     assert [r["lang_pred"] for r in got[len(texts) : len(texts) + 3]] == ["und"] * 3
     assert all(r["rejected"] for r in got[len(texts) :]) and all(0 <= r["score"] <= 1 for r in got)
     assert [r["held_out"] for r in got] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(got))]
+    assert language_id.predict_language(docs_of(spark, texts).limit(0)).count() == 0
+    odd = language_id.predict_language(docs_of(spark, AWKWARD, [None] + [7] * (len(AWKWARD) - 1))).collect()
+    assert len(odd) == len(AWKWARD) and sum(r["doc_id"] is None for r in odd) == 1
     alone = language_id.predict_language(docs_of(spark, AWKWARD, None, [None] * len(AWKWARD))).collect()
     assert {r["lang_pred"] for r in alone} == {"und"}
 
 
+def test_language_matches_plain_arithmetic(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdé ñ,.") for _ in range(r.randrange(5, 300))) for _ in range(40)]
+    langs = [("xx", "yy")[i % 2] for i in range(40)]
+    docs = docs_of(spark, texts, None, langs)
+    rows = docs.where("doc_id % 4 > 0").select("doc_id", "text", "lang")
+    idf, names, matrix, _ = language_id.fit(rows)
+    seen, n = collections.Counter(), 0
+
+    def trigrams(text):
+        raw = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in b"  " + text.lower().encode() + b"  ")
+        grams = [raw[k : k + 3] for k in range(len(raw) - 2)]
+        return collections.Counter(g for g in grams if not (g[1] == 32 and 32 in (g[0], g[2])))
+
+    def place(gram):
+        x = (gram[0] * 0x9E3779B1 + gram[1] * 0x85EBCA77 + gram[2] * 0xC2B2AE3D) & 0xFFFFFFFF
+        return ((x ^ x >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 20
+
+    def counts(text):
+        out = collections.Counter()
+        for gram, k in trigrams(text).items():
+            out[place(gram)] += k
+        return out
+
+    for i, text in enumerate(texts):
+        if i % 4 > 0:
+            seen.update(counts(text).keys())
+            n += 1
+    assert np.allclose(idf, [math.log((1 + n) / (1 + seen[k])) + 0.05 for k in range(language_id.DIMS)], atol=1e-5)
+    assert sorted(set(names)) == ["xx", "yy"] and np.allclose(np.linalg.norm(matrix, axis=1), 1, atol=1e-5)
+    for text in texts[:8]:
+        v = np.zeros(language_id.DIMS)
+        for k, c in counts(text).items():
+            v[k] = math.log1p(c) * idf[k]
+        assert np.allclose(language_id.tf_idf(language_id.trigram_counts([text]), idf)[0], v / np.linalg.norm(v), atol=1e-5)
+
+
 def test_quality_orders_grades(spark):
     r = random.Random(2)
     texts, grades = [], []
