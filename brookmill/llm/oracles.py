@@ -15,8 +15,14 @@ _ADDRESS = (
     f"regexp_replace(regexp_replace({_HOST}, ':(80|443)$', ''), '^www\\.', '') || regexp_replace({_PATH}, '/+$', '')"
     f" || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END"
 )
-_TAGS = """regexp_extract(html, '(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1) AS canonical_tag,
-  regexp_extract(html, '(?is)(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1) AS refresh_tag"""
+_CANONICAL = """regexp_extract_all(html, '(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1)"""
+_REFRESH = """regexp_extract_all(html, '(?is)(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1)"""
+_HREF = """'(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)'"""
+_URL = """'(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)'"""
+_SITE = "regexp_extract(url, '^(.*?://[^/?#]*)', 1)"
+_WITHOUT_DOTS = "array_to_string(list_reduce(list_transform(string_split({0}, '/'), lambda x: [x]), lambda a, b: CASE WHEN b[1] = '.' THEN a WHEN b[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, b) END), '/')"
+_FOLDER = f"coalesce(nullif(regexp_extract({_PATH.format('url')}, '^(.*/)', 1), ''), '/')"
+_TO_PATH, _TO_QUERY = "regexp_extract(target, '^([^?#]*)', 1)", "regexp_extract(target, '^[^?#]*(\\?[^#]*)', 1)"
 
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": """WITH RECURSIVE
@@ -30,11 +36,13 @@ SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS
 FROM embeddings JOIN roots ON vec_id = id LEFT JOIN degree ON vec_id = a""",
     "op4_url_filter": f"""WITH RECURSIVE
 rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, rhost, rpath)),
-tagged AS (SELECT url, {_TAGS} FROM pages WHERE strpos(url, '://') > 0),
-found AS (SELECT url, regexp_extract(canonical_tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM tagged
-  UNION ALL SELECT url, regexp_extract(refresh_tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tagged),
+found AS (SELECT url, list_filter(list_transform({_CANONICAL}, lambda t: regexp_extract(t, {_HREF}, 1)), lambda v: v <> '')[1] AS target FROM pages WHERE strpos(url, '://') > 0
+  UNION ALL SELECT url, list_filter(list_transform({_REFRESH}, lambda t: regexp_extract(t, {_URL}, 1)), lambda v: v <> '')[1] FROM pages WHERE strpos(url, '://') > 0),
 links AS (SELECT url, CASE WHEN strpos(target, '://') > 0 THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?:)//', 1) || target
-  WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || target END AS target FROM found WHERE target <> ''),
+  WHEN starts_with(target, '/') THEN {_SITE} || {_WITHOUT_DOTS.format(_TO_PATH)} || {_TO_QUERY}
+  WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(target, '#') THEN NULL
+  WHEN starts_with(target, '?') THEN {_SITE} || {_PATH.format("url")} || {_TO_QUERY}
+  ELSE {_SITE} || {_WITHOUT_DOTS.format(_FOLDER + " || " + _TO_PATH)} || {_TO_QUERY} END AS target FROM found WHERE target IS NOT NULL),
 urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT target FROM links WHERE target IS NOT NULL) WHERE strpos(url, '://') > 0),
 parts AS (SELECT url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, {_ADDRESS.format("url")} AS address FROM urls),
 ruled AS (SELECT url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict

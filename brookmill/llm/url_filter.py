@@ -54,20 +54,49 @@ def address_of(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, address)
 
 
+def _first_value(html: Column, tag: str, value: str) -> Column:
+    """What ``value`` matches in the first ``tag`` that has it; empty without one."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(tag), 1), lambda t: F.regexp_extract(t, value, 1))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda v: v != ""), F.lit(1)), F.lit(""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` steps."""
+    steps = F.split(path, "/", -1)
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, step: F.when(step == ".", done).when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, step)),
+    )
+    return F.array_join(kept, "/")
+
+
+def absolute(url: Column, to: Column) -> Column:
+    """The address that a link ``to`` on the page ``url`` leads to; null for other schemes."""
+    site = F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1)
+    path, query = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(path_of(url), r"^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(F.locate("://", to) > 0, to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(site, without_dots(path), query))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | to.startswith("#"), None)
+        .when(to.startswith("?"), F.concat(site, path_of(url), query))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, path)), query))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target): canonical links and meta-refresh redirects of the pages, made absolute."""
+    """(url, target): canonical links and meta-refresh redirects of the pages, made absolute.
+
+    The first canonical tag that has an address counts, and the first refresh that has one.
+    """
     html = F.col("html")
-    canonical_tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    refresh_tag = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    canonical = F.regexp_extract(canonical_tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(refresh_tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    marked = html.contains("canonical") | html.contains("CANONICAL") | F.lower(html).contains("refresh")
+    canonical = _first_value(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = _first_value(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    marked = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
     found = pages.where(marked & (F.locate("://", F.col("url")) > 0)).select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
-    site = F.regexp_extract("url", r"^(.*?://[^/?#]*)", 1)
-    target = F.when(F.locate("://", F.col("to")) > 0, F.col("to"))
-    target = target.when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"^(.*?:)//", 1), F.col("to")))
-    target = target.when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
-    return found.select("url", target.alias("target")).where("target is not null")
+    return found.select("url", absolute(F.col("url"), F.col("to")).alias("target")).where("target is not null")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:

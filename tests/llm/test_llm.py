@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -17,6 +18,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from brookmill.llm import decontamination, embedding_dedup, jaccard_dedup, language_id, language_model, packing, quality, simhash, substring_dedup, token_files, tokens, url_filter
 from brookmill.llm.components import connected_components
+from brookmill.llm.oracles import ORACLES
+from brookmill.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, batch string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -264,13 +267,31 @@ def test_urls(spark):
         (7, "http://example.com", "", None, "allow"),
         (8, "http://xcom/de/1", "", None, "allow"),
         (9, "http://other.net/a/?utm_source=q#f", "", None, "block"),
+        (10, "http://rel.net/a/b", '<LINK REL="Canonical" HREF="https://x.com/de/1">', None, "block"),
+        (11, "http://rel.net/a/c?q", link.format("b"), None, "block"),
+        (12, "http://rel.net/q/r/s", link.format("../../a/./b#top"), None, "block"),
+        (13, "http://rel.net/a/b?old", link.format("?old=2"), None, "allow"),
+        (14, "http://two.net/", '<link rel="canonical">' + link.format("//rel.net/a/b") + link.format("https://z.net/"), None, "block"),
+        (15, "http://z.net", link.format("mailto:a@x.com"), None, "allow"),
+        (16, "http://z.net", None, None, "allow"),
+        (16, "http://z.net", None, None, "allow"),
+        (None, "http://x.com/de/2", None, "com/de/", "block"),
     ]
     got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string"), RULES).collect()}
-    assert len(got) == len(pages)
+    assert len(got) == len({p[0] for p in pages})
     for page, _, _, rule, verdict in pages:
         assert (got[page]["rule"], got[page]["verdict"]) == (rule.split("|")[-1] if rule else None, verdict), page
     assert (got[1]["host"], got[1]["path"]) == ("a.example.org", "/es/1") and (got[7]["host"], got[7]["path"]) == ("example.com", "")
     assert (got[5]["host"], got[6]["path"]) == ("", "")
+    table = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    clashing = table.withColumns({c: F.lit("x") for c in ("address", "rule", "verdict", "host", "aliased", "node")})
+    assert sorted(url_filter.judge_urls(clashing, RULES).collect(), key=repr) == sorted(url_filter.judge_urls(table, RULES).collect(), key=repr)
+    assert len(url_filter.judge_urls(table, RULES).collect()) == len(pages) and url_filter.judge_urls(table.limit(0), RULES).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url TEXT, html TEXT)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [p[:3] for p in pages])
+    by_sql = con.execute(f"SELECT page_id, verdict FROM ({ORACLES['op4_url_filter']})").fetchall()
+    assert sorted(by_sql, key=repr) == sorted(((r["page_id"], r["verdict"]) for r in url_filter.judge_urls(table, URL_RULES).collect()), key=repr)
 
 
 # --- 6 ----------------------------------------------------------------------------------
