@@ -10,9 +10,10 @@ that holds enough of an item's words holds one of its rarest, whatever stands ar
 passages with such a word are candidates too.  A candidate is verified where it was found: first its word signature must not lack too many of the item's bits, which no leak
 does; then the longest common subsequence of words with the item must cover most of the
 item, or somewhat less of it together with all words of the item's answer, its last words.
+An item of a few words only is found where all its words follow one another.
 
 Document frequencies and the SVD cover all texts.  Items are broadcast in blocks of bounded
-size, each compared with all texts.
+size, each compared with all texts in one pass.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ DIMS = 1 << DIM_BITS
 LEAST_COSINE = 0.28
 #: Share of an item's words in common order that proves a leak, alone or with the answer.
 ALONE, WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 5
-#: Shorter items match nothing; items broadcast at a time.
-LEAST_WORDS, ITEM_BLOCK = 5, 2000
+#: Items of fewer words are looked for as they are; items broadcast at a time, and compared at a time.
+LEAST_WORDS, ITEM_BLOCK, ITEMS_AT_ONCE = 5, 20_000, 1000
 _ROWS = 64  # rows of the sketch that travel together
 #: 64-bit words of a signature, which has a bit for each word.
 _SIGNATURE = 8
@@ -184,7 +185,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``common`` is the greatest share of the item's words that a passage of the text holds in
     order, ``answer`` whether the best passage holds all of the item's last words.  Items and
-    texts that are null or empty, and items of fewer than LEAST_WORDS words, match nothing.
+    texts that are null or have no word match nothing; an item of fewer than LEAST_WORDS words
+    matches where they follow one another.
     Rows that repeat are compared each on their own; other columns are ignored; if either
     table is empty there are no rows.
     """
@@ -219,8 +221,8 @@ class Seeds:
         pairs = set()
         for i, item in enumerate(item_words):
             n = len(item)
-            if n >= LEAST_WORDS:
-                least = next(k for k in range(n + 1) if k / n >= min(ALONE, WITH_ANSWER))
+            if n:
+                least = n if n < LEAST_WORDS else next(k for k in range(n + 1) if k / n >= min(ALONE, WITH_ANSWER))
                 rarest = sorted(item, key=lambda w: (-idf[w >> 64 - DIM_BITS], w))[: n - least + 1]
                 pairs.update((w, i) for w in rarest)
         held = sorted(pairs)
@@ -252,14 +254,15 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray,
     x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
     by_size: dict[int, list[int]] = {}
     for i, n in enumerate(np.diff(borders).tolist()):
-        if n >= LEAST_WORDS:
+        if n:
             by_size.setdefault(-(-n // CHUNK) + 1, []).append(i)
     item_words = [hashes[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])]
     signatures = np.zeros((len(block), _SIGNATURE), np.uint64)
     word, bit = _signature_bits(hashes)
     np.bitwise_or.at(signatures, (owner, word), bit)
     # a common subsequence of that share leaves out at most so many words, and so bits
-    may_lack = np.floor((1 - min(ALONE, WITH_ANSWER)) * np.diff(borders) + 1e-9)
+    sizes = np.diff(borders)
+    may_lack = np.where(sizes < LEAST_WORDS, 0, np.floor((1 - min(ALONE, WITH_ANSWER)) * sizes + 1e-9))
     shared = spark.sparkContext.broadcast(([i for i, _ in block], item_words, x, by_size, latent, signatures, may_lack, Seeds(item_words, idf)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,31 +285,35 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray,
                         passage[:-size][inside] += rows[size:][inside]
                         bits[:-size][inside] |= chunk_bits[size:][inside]
                     size += 1
-                own = by_size[wanted]
                 norm = np.maximum(np.linalg.norm(passage, axis=1), 1e-12)
-                cosines = (passage @ x[own].T) / norm[:, None]
-                place_of[:] = -1
-                place_of[own] = np.arange(len(own))
-                mine = place_of[seed_item] >= 0
-                held = np.unique(seed_chunk[mine] * len(own) + place_of[seed_item[mine]])
-                back = np.arange(wanted)[:, None]  # passages that reach the chunk
-                starts, which = held // len(own) - back, np.broadcast_to(held % len(own), (wanted, len(held)))
-                inside = starts >= first_chunk[held // len(own)]
-                close = np.flatnonzero((cosines >= LEAST_COSINE).ravel())
-                near, which = np.divmod(np.union1d(starts[inside] * len(own) + which[inside], close), len(own))
-                items = np.array(own)[which]
-                lacking = np.bitwise_count(signatures[items] & ~bits[near]).sum(axis=1)
-                use = lacking <= may_lack[items]
-                for at, k in zip(near[use].tolist(), which[use].tolist()):
-                    text, item = int(chunks.owner[at]), own[k]
-                    a = chunks.starts[at]
-                    passage_words = chunks.hashes[a : min(a + wanted * CHUNK, chunks.text_borders[text + 1])].tolist()
-                    needed = item_words[item]
-                    share = common_subsequence(needed, passage_words) / len(needed)
-                    answer = set(needed[-ANSWER_WORDS:]) <= set(passage_words)
-                    if share >= ALONE or (share >= WITH_ANSWER and answer):
-                        new = (share, answer, float(cosines[at, k]))
-                        best[text, item] = max(best.get((text, item), new), new)
+                for begin in range(0, len(by_size[wanted]), ITEMS_AT_ONCE):
+                    own = by_size[wanted][begin : begin + ITEMS_AT_ONCE]
+                    cosines = (passage @ x[own].T) / norm[:, None]
+                    place_of[:] = -1
+                    place_of[own] = np.arange(len(own))
+                    mine = place_of[seed_item] >= 0
+                    held = np.unique(seed_chunk[mine] * len(own) + place_of[seed_item[mine]])
+                    back = np.arange(wanted)[:, None]  # passages that reach the chunk
+                    starts, which = held // len(own) - back, np.broadcast_to(held % len(own), (wanted, len(held)))
+                    inside = starts >= first_chunk[held // len(own)]
+                    close = np.flatnonzero((cosines >= LEAST_COSINE).ravel())
+                    near, which = np.divmod(np.union1d(starts[inside] * len(own) + which[inside], close), len(own))
+                    items = np.array(own)[which]
+                    lacking = np.bitwise_count(signatures[items] & ~bits[near]).sum(axis=1)
+                    use = lacking <= may_lack[items]
+                    for at, k in zip(near[use].tolist(), which[use].tolist()):
+                        text, item = int(chunks.owner[at]), own[k]
+                        a = chunks.starts[at]
+                        passage_words = chunks.hashes[a : min(a + wanted * CHUNK, chunks.text_borders[text + 1])].tolist()
+                        needed = item_words[item]
+                        if len(needed) < LEAST_WORDS:
+                            share = float(any(passage_words[i : i + len(needed)] == needed for i in range(len(passage_words))))
+                        else:
+                            share = common_subsequence(needed, passage_words) / len(needed)
+                        answer = set(needed[-ANSWER_WORDS:]) <= set(passage_words)
+                        if share >= ALONE or (share >= WITH_ANSWER and answer):
+                            new = (share, answer, float(cosines[at, k]))
+                            best[text, item] = max(best.get((text, item), new), new)
             doc_ids = batch.column(0).to_pylist()
             out = [{"doc_id": doc_ids[t], "item_id": ids[i], "cosine": c, "common": s, "answer": a} for (t, i), (s, a, c) in sorted(best.items())]
             if out:

@@ -309,9 +309,10 @@ def test_leaks(spark):
     for k in range(3, 24, 4):
         paraphrase[k] = f"other{k}"
     texts[50] = texts[50] + " " + " ".join(paraphrase)
-    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (92, "one two")], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (92, "one two"), (93, "one TWO!"), (94, "two one"), (95, "x\x0by a five")], "item_id long, text string")
     got = decontamination.leaks(docs_of(spark, texts + AWKWARD), bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(50, 0)}
+    short = {(len(texts) + i, k) for i, t in enumerate(AWKWARD) if t and "ONE two" in t for k in (92, 93)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(50, 0)} | short
     assert decontamination.leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
     assert decontamination.leaks(docs_of(spark, texts).limit(0), bench).count() == 0
 
@@ -337,6 +338,40 @@ def test_no_leak_depends_on_its_surroundings(spark, monkeypatch):
     assert want <= {(g["doc_id"], g["item_id"]) for g in got}
 
 
+def test_leaks_match_brute_force(spark):
+    """Every passage of every text against every item, without candidates: reworded and reordered items too."""
+    r = random.Random(12)
+    items = [small_words(2000 + i, r.choice([6, 15, 24, 40]), 300) for i in range(25)]
+    texts = []
+    for i in range(120):
+        w = small_words(i, r.randrange(5, 200), 300)
+        planted = list(r.choice(items))
+        for _ in range(r.randrange(0, max(len(planted) // 2, 1))):  # other words, lost words, swapped words
+            k = r.randrange(len(planted))
+            act = r.randrange(3)
+            if act == 0:
+                planted[k] = f"w{r.randrange(300)}"
+            elif act == 1 and len(planted) > 3:
+                del planted[k]
+            else:
+                planted[k - 1], planted[k] = planted[k], planted[k - 1]
+        at = r.randrange(len(w))
+        texts.append(" ".join(w[:at] + planted + w[at:]))
+    want = set()
+    for d, text in enumerate(texts):
+        w = text.split()
+        for i, item in enumerate(items):
+            size = (-(-len(item) // decontamination.CHUNK) + 1) * decontamination.CHUNK
+            for start in range(0, len(w), decontamination.CHUNK):
+                passage = w[start : start + size]
+                share = decontamination.common_subsequence(item, passage) / len(item)
+                if share >= 0.8 or (share >= 0.6 and set(item[-5:]) <= set(passage)):
+                    want.add((d, i))
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontamination.leaks(docs_of(spark, texts), table).select("doc_id", "item_id").collect()
+    assert len(want) > 60 and {tuple(x) for x in got} == want
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
