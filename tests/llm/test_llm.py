@@ -92,6 +92,10 @@ def test_vectors_match_brute_force(spark):
     for i in range(900, 907):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert embedding_dedup.link_vectors(table.limit(0)).count() == 0
+    doubles = spark.createDataFrame([*rows, (None, x[0].tolist(), 0), (0, x[0].tolist(), 0)], "vec_id long, embedding array<double>, n_links string")
+    again = embedding_dedup.link_vectors(doubles).collect()
+    assert len(again) == len(rows) + 2 and {r["component_id"] for r in again if r["vec_id"] == 0} == {0}
+    assert {r["n_links"] for r in again if r["vec_id"] == 0} == {links[0].sum() + 1}
 
 
 def test_crowded_cell_is_split(spark, monkeypatch):
