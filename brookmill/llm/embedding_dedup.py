@@ -37,6 +37,8 @@ GRID_DIMS = 2
 CHUNK, SLICE = 8192, 512
 ROTATION_SEED = 20_240_101
 SLACK = 1e-9
+#: What single precision may add to a block's squared distance.
+ROUNDING = 1e-5
 
 _VECTOR_SCHEMA = "vec_id long, dims int, key binary, vector binary"
 
@@ -142,20 +144,26 @@ class _Chunk:
         self.reps, self.sizes, vectors = (np.concatenate(x) for x in zip(*self.parts))
         self.unit = units(vectors)[0]
         self.turned = self.unit @ rotation(self.dims).T
+        self.mine = self._block(self.turned)
         self.counts = np.zeros(len(self.reps), np.int64)
         self.root = np.arange(len(self.reps))
         self.parts.clear()
         self.ready = True
 
+    def _block(self, turned: np.ndarray, budget: float = 0.0, probe: bool = False) -> np.ndarray:
+        """Block coordinates in single precision with two more, so that the product of a row and
+        a probe is (budget - squared distance) / 2."""
+        a, b = self.borders[self.block]
+        x = turned[:, a:b]
+        half, one = (budget - np.einsum("ij,ij->i", x, x)) / 2, np.ones(len(x))
+        return np.column_stack([x, one, half] if probe else [x, half, one]).astype(np.float32)
+
     def meet(self, reps: np.ndarray, sizes: np.ndarray, home: np.ndarray, vectors: np.ndarray) -> None:
         if not self.ready:
             self._prepare()
         unit = units(vectors)[0]
         turned = unit @ rotation(self.dims).T
-        a, b = self.borders[self.block]
-        mine, theirs = self.turned[:, a:b], turned[:, a:b]
-        squares = (mine**2).sum(axis=1)[:, None] + (theirs**2).sum(axis=1)[None, :] - 2 * mine @ theirs.T
-        i, j = np.nonzero(squares <= self.budgets[self.block] + SLACK)
+        i, j = np.nonzero(self.mine @ self._block(turned, self.budgets[self.block] + ROUNDING, probe=True).T >= 0)
         keep = ~home[j] | (reps[j] < self.reps[i])
         i, j = i[keep], j[keep]
         linked = np.zeros(len(i), bool)

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, parallelism, text_slices, written
-from .hashing import HASH_SLICE, mix, pair_hash, words_of
+from .hashing import mix, pair_hash, words_of
 
 #: Bits of the filter for each key, hash functions of a key, highest level of a count: about
-#: 1 % of keys that are not held read as held.
-BITS_PER_KEY, PROBES, TOP_LEVEL = 12, 3, 40
+#: 2 % of keys that are not held read as held.
+BITS_PER_KEY, PROBES, TOP_LEVEL = 10, 3, 40
 #: Bits of the largest filter that is broadcast.
 BROADCAST_BITS = 1 << 30
 #: Frequent words that are broadcast with their exact counts.
@@ -39,8 +39,10 @@ HEAD_WORDS = 1 << 16
 #: Share of the pair's own estimate.
 PAIR_WEIGHT = 0.6
 END = np.uint64(0x5851F42D4C957F2D)
+#: Bytes of text handled at a time.
+TEXT_SLICE = 1 << 20
 #: N-grams that a training task gathers before it hands them on.
-GATHERED = 3_000_000
+GATHERED = 1_500_000
 
 _COUNTED = "bucket int, kind string, keys binary, counts binary"
 
@@ -90,7 +92,7 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
                     names=["bucket", "kind", "keys", "counts"],
                 )
 
-        for batch in text_slices(batches, "text", HASH_SLICE):
+        for batch in text_slices(batches, "text", TEXT_SLICE):
             tokens, _, history = _tokens([t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
             held["1"].append(tokens)
             held["2"].append(pair_hash(history, tokens))
@@ -244,7 +246,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, keys_of_head, counts_of_head = model.value
         partition = TaskContext.get().partitionId()
-        for number, batch in enumerate(text_slices(batches, "text", HASH_SLICE)):
+        for number, batch in enumerate(text_slices(batches, "text", TEXT_SLICE)):
             batch_id = (partition << 32) + number
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             tokens, owner, history = _tokens(texts)
