@@ -164,7 +164,8 @@ def test_near_copies_match_brute_force_jaccard(spark):
     want = components(len(sets), pairs)
     got = jaccard_dedup.jaccard_groups(docs_of(spark, texts)).orderBy("doc_id").collect()
     assert [r["component_id"] for r in got] == want
-    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").select("doc_id").collect()
+    docs = docs_of(spark, texts)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want))
 
 

@@ -4,7 +4,7 @@ import re
 
 import duckdb
 import pytest
-from test_llm import components, plain_fingerprint, plain_removal
+from test_llm import AWKWARD, components, docs_of, plain_removal, plain_shingles, small_words
 
 import corpus_pipeline
 from brookmill.llm.oracles import ORACLES
@@ -47,12 +47,13 @@ def test_pipeline_matches_brute_force(spark, sf_dir, tmp_path):
     assert language.items() <= start.items() and len(language) >= 0.98 * len(start)
     # near duplicates: the smallest id of each component
     ids = sorted(language)
-    fps = [plain_fingerprint(language[i]) for i in ids]
-    roots = components(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    sets = [plain_shingles(language[i]) for i in ids]
+    near_pairs = [(i, j) for i in range(len(ids)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = components(len(ids), near_pairs)
     assert near == {ids[i]: language[ids[i]] for i in range(len(ids)) if roots[i] == i}
     # repeats: what is left of each text, apart from characters that a run only partly covers
     ids = sorted(near)
-    for i, (n_bytes, n_removed, n_spans, _) in zip(ids, plain_removal([near[i] for i in ids], 400)):
+    for i, (n_bytes, n_removed, n_spans, _) in zip(ids, plain_removal([near[i] for i in ids], corpus_pipeline.REPEAT_BYTES)):
         left = len(cut[i].encode())
         assert n_bytes - n_removed <= left <= n_bytes - n_removed + 6 * n_spans
     # leaks: texts with a whole item go, and others stay
@@ -68,3 +69,28 @@ def test_pipeline_matches_brute_force(spark, sf_dir, tmp_path):
         assert r["offset"] == filled.get(r["sequence_id"], 0)
         filled[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(filled.values()) <= 2048
+
+
+def test_stages_take_awkward_tables(spark, sf_dir):
+    """Null and repeated ids, null and empty texts, long texts, repeated rows, clashing columns, empty tables."""
+    prose = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 300 and 900").select("text").limit(12).collect()]
+    texts = prose + [prose[0], prose[1], prose[1], *AWKWARD, " ".join(small_words(5, 40_000, 3000))]
+    ids = [*range(12), 50, None, None, *([7] * len(AWKWARD)), None]
+    docs = docs_of(spark, texts, ids).withColumnsRenamed({"fp": "mark", "batch": "_row"}).unionByName(docs_of(spark, [prose[2]], [2]).withColumnsRenamed({"fp": "mark", "batch": "_row"}))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir).collect()
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0, name
+        if name != "best_fit_packing":
+            assert sorted(empty.columns) == sorted(corpus_pipeline.COLUMNS)
+        kept = [(r["doc_id"], r["text"]) for r in got] if name != "best_fit_packing" else []
+        if name == "language_id":
+            assert kept.count((None, prose[1])) == 2 and kept.count((2, prose[2])) == 2 and not any(t is None or not any(map(str.isalpha, t)) for _, t in kept)
+        if name == "simhash_near_dedup":  # the smallest id of each group, null last, one row
+            assert kept.count((0, prose[0])) == 1 and kept.count((1, prose[1])) == 1 and kept.count((2, prose[2])) == 1
+            assert not any(i is None for i, t in kept if t in prose) and sum(t == "a" for _, t in kept) == 1
+            assert sum(t is None or not t.strip() for _, t in kept) == 1
+        if name in ("suffix_array_dedup", "best_fit_packing"):
+            assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in got} if not kept else kept) >= len(texts) + 1
+        if name == "benchmark_decontamination":
+            assert len(kept) == len(texts) + 1
