@@ -153,6 +153,11 @@ def test_near_copies_match_brute_force_jaccard(spark):
             for _ in range(changes):
                 copy[r.randrange(len(copy))] = f"new{r.random()}"
             texts.append(" ".join(copy))
+    for changes in (0, 40, 160, 260, 400):  # long texts, near and not, across a change of signature width
+        copy = small_words(500, 2000 + changes, 4000)
+        for k in range(changes):
+            copy[k * 5] = f"new{k}"
+        texts.append(" ".join(copy))
     drift = small_words(99, 120)  # a chain: neighbours are near, ends are not
     for _ in range(40):
         drift[r.randrange(120)] = f"new{r.random()}"
