@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,10 +41,34 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the paths of tables written in between are noted, for whoever will drop them.
+_noted: ContextVar[list[str] | None] = ContextVar("_noted", default=None)
+
+
+@contextmanager
+def noting_tables(paths: list[str]) -> Iterator[None]:
+    """Adds the path of every table that ``written`` makes meanwhile."""
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables whose readers are done, and forgets them."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: the lineage ends there."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

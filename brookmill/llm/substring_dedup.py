@@ -34,7 +34,10 @@ from pyspark.sql import functions as F
 from .common import parallelism, text_slices, written
 from .hashing import mix, prefix_sums, stretch_hashes
 
-TRIGGER_BYTES, PHRASE_BYTES = 24, 64  # a trigger's bytes; mean distance of triggers
+TRIGGER_BYTES = 24
+#: Mean distance of triggers, at most this and a sixth of the string length: then few strings
+#: hold no whole phrase.
+PHRASE_BYTES, PHRASES = 64, 6
 SLICE = 1 << 20
 _PHRASE, _SUFFIX = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 #: The lowest bit of a key marks suffixes with the phrase before them in the first grouping,
@@ -78,7 +81,7 @@ class Parse:
         self.h = prefix_sums(self.bytes)
         places = np.arange(max(n - TRIGGER_BYTES + 1, 0))
         rolling = stretch_hashes(self.h, places, places + TRIGGER_BYTES) * np.uint64(0x9FB21C651E98DF25)
-        triggers = np.flatnonzero(rolling < np.uint64((1 << 64) // PHRASE_BYTES))
+        triggers = np.flatnonzero(rolling < np.uint64((1 << 64) // max(min(PHRASE_BYTES, length // PHRASES), 1)))
         owner = np.searchsorted(self.borders, triggers, "right") - 1
         ends = self.borders[owner + 1]
         use = (triggers + TRIGGER_BYTES <= ends) & (ends - self.borders[owner] >= length)

@@ -79,7 +79,7 @@ def test_stages_take_awkward_tables(spark, sf_dir):
     docs = docs_of(spark, texts, ids).withColumnsRenamed({"fp": "mark", "batch": "_row"}).unionByName(docs_of(spark, [prose[2]], [2]).withColumnsRenamed({"fp": "mark", "batch": "_row"}))
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, sf_dir).collect()
-        empty = stage(spark, docs.limit(0), sf_dir)
+        empty = stage(spark, docs.limit(0), sf_dir)  # drops what the call before kept
         assert empty.count() == 0, name
         if name != "best_fit_packing":
             assert sorted(empty.columns) == sorted(corpus_pipeline.COLUMNS)
