@@ -14,7 +14,7 @@ _TABLES = tuple(np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 #: Slice size for operators that hold several words per byte.
-HASH_SLICE = 2 << 20
+HASH_SLICE = 1 << 20
 
 
 def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:

@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from .hashing import mix, prefix_sums, stretch_hashes
 
 #: Bytes that the table of one worker may take.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 32 << 20
 #: Bytes of text encoded at a time.
 TEXT_SLICE = 1 << 20
 #: Longer pieces are encoded but not kept.
