@@ -180,4 +180,6 @@ ORACLES: dict[str, str] = {
     "ad_click_trend_stream": _with(_ADS, "SELECT * FROM trend"),
     "blacklist_stream": _with(_ADS, "SELECT * FROM listed"),
     "province_top3_stream": _with(_ADS, "SELECT * FROM prov_top"),
+    # the table is one file, so one batch, which is filtered with the empty list
+    "ad_job_stream": _with(_ADS, "SELECT * FROM prov_top"),
 }

@@ -407,5 +407,11 @@ def province_top3_stream(s, d):
     return _last(tops, stream.province_top3_stream(stream.ad_stat_stream(_click_stream(s, d)), stat, tops, f"{folder}/checkpoint"))
 
 
+@query
+def ad_job_stream(s, d):
+    running, tables = stream.ad_job_stream(_click_stream(s, d), new_folder(s, "ad-job"), THRESHOLD)
+    return _last(tables["tops"], running)
+
+
 QUERIES["actions_by_date"] = QUERIES.pop("q_actions_by_date")
 QUERIES["click_actions_by_date"] = QUERIES.pop("q_click_actions_by_date")

@@ -39,6 +39,7 @@ def new_blacklist_users(candidates: DataFrame, blacklist: DataFrame) -> DataFram
     return candidates.select("user_id").distinct().join(blacklist, "user_id", "left_anti")
 
 
-def write_stream(df: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Starts a stream that handles what is there in batches and ends."""
-    return df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_stream(df: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", interval: str | None = None) -> StreamingQuery:
+    """Starts a stream: a batch every ``interval`` until it is stopped, or without one all that is there, and the end."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -16,15 +16,36 @@ from ..sources.merge import new_blacklist_users, replace_groups, upsert_add, ups
 
 
 class VersionedTable:
-    """A table with a folder for each epoch."""
+    """A table with a folder for each epoch.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.last = -1  # the epoch written last
+    ``keep`` epochs stay (two are enough for an epoch that runs again), or all of them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int | None = None):
+        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
+        self.epochs = self._written()
 
     def _folder(self, epoch: int) -> str:
         return f"{self.path}/v={epoch}"
 
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _written(self) -> list[int]:
+        """The epochs that are there whole, as after a restart."""
+        system, path = self._files()
+        if not system.exists(path):
+            return []
+        names = [f.getPath() for f in system.listStatus(path)]
+        done = [p.getName() for p in names if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n[2:]) for n in done if n.startswith("v="))
+
+    @property
+    def last(self) -> int:
+        """The epoch written last; -1 before the first."""
+        return self.epochs[-1] if self.epochs else -1
+
     def read(self, epoch: int) -> DataFrame:
         """The table after ``epoch``; empty before the first."""
         if epoch < 0:
@@ -33,7 +54,10 @@ class VersionedTable:
 
     def write(self, df: DataFrame, epoch: int) -> DataFrame:
         df.write.mode("overwrite").parquet(self._folder(epoch))
-        self.last = epoch
+        self.epochs = sorted({*self.epochs, epoch})
+        while self.keep and len(self.epochs) > self.keep:
+            system, path = self._files()
+            system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v={self.epochs.pop(0)}"), True)
         return self.read(epoch)
 
 
@@ -86,3 +110,29 @@ def province_top3_stream(updates: DataFrame, stat: VersionedTable, tops: Version
         tops.write(replace_groups(tops.read(epoch - 1), province_top3(province_ad_counts(touched), n), ["date", "province"]), epoch)
 
     return write_stream(updates, batch, checkpoint, "update")
+
+
+def ad_job_stream(clicks: DataFrame, folder: str, threshold: int = 100, n: int = 3, interval: str | None = None) -> tuple[StreamingQuery, dict[str, VersionedTable]]:
+    """The real-time job: clicks of listed users go, the others are counted for the list, for the
+    running (date, province, city, ad) counts and for the province tops, all in one batch.
+
+    The minute trend reads all clicks and is a stream of its own.  A restart with the same
+    folder goes on after the last whole epoch.
+    """
+    spark = clicks.sparkSession
+    schemas = {"user_counts": USER_AD, "listed": "user_id long", "stat": AD_STAT, "tops": PROVINCE_TOP}
+    tables = {name: VersionedTable(spark, f"{folder}/{name}", schema, keep=2) for name, schema in schemas.items()}
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        user_counts, listed, stat, tops = (t.read(epoch - 1) for t in tables.values())
+        passed = filter_blacklist(rows, listed).persist()
+        counted = tables["user_counts"].write(upsert_add(user_counts, user_ad_click_counts(passed), ["date", "user_id", "ad_id"], "click_count"), epoch)
+        tables["listed"].write(listed.unionByName(new_blacklist_users(blacklist_users(counted, threshold), listed)), epoch)
+        keys = ["date", "province", "city", "ad_id"]
+        new = passed.groupBy(F.date_format("ts", DATE).alias("date"), *keys[1:]).agg(F.count("*").alias("click_count"))
+        now = tables["stat"].write(upsert_add(stat, new, keys, "click_count"), epoch)
+        touched = now.join(new.select("date", "province").distinct(), ["date", "province"], "left_semi")
+        tables["tops"].write(replace_groups(tops, province_top3(province_ad_counts(touched), n), ["date", "province"]), epoch)
+        passed.unpersist()
+
+    return write_stream(clicks, batch, f"{folder}/checkpoint", interval=interval), tables

@@ -55,3 +55,19 @@ def test_blacklist_counts_each_ad_alone(spark):
     empty = spark.createDataFrame([], "user_id long")
     _, listed = ads.update_blacklist(clicks, spark.createDataFrame([], ads.USER_AD), empty)
     assert listed.count() == 0
+
+
+def test_job_goes_on_after_a_restart(spark, tmp_path):
+    write_lines(tmp_path / "in", [[line("10:00:00")] * 99, [line("10:00:01")]])
+    clicks = read_ad_stream_files(spark, f"file://{tmp_path}/in", 1)
+    running, _ = ads.ad_job_stream(clicks, f"file://{tmp_path}/job")
+    running.awaitTermination(120)
+    write_lines(tmp_path / "more", [[line("10:00:02")] * 5 + [line("10:00:02", user=8)] * 2])
+    (tmp_path / "more" / "000.txt").rename(tmp_path / "in" / "009.txt")
+    running, tables = ads.ad_job_stream(read_ad_stream_files(spark, f"file://{tmp_path}/in", 1), f"file://{tmp_path}/job", interval="1 second")
+    running.processAllAvailable()
+    running.stop()
+    assert tables["listed"].last == 2 and [r[0] for r in tables["listed"].read(2).collect()] == [7]
+    assert [r["click_count"] for r in tables["stat"].read(2).collect()] == [102] == [r["click_count"] for r in tables["tops"].read(2).collect()]
+    again = ads.VersionedTable(spark, f"file://{tmp_path}/job/stat", ads.AD_STAT)
+    assert again.epochs == [1, 2] and again.read(again.last).count() == 1
