@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts
+from .clustering import cluster_vectors
 from .common import read_table
+from .conversation_repair import conversation_digests, damaged, repair_conversations
 from .decontamination import leaks
 from .embedding_dedup import link_vectors
 from .language_id import predict_language
@@ -64,6 +67,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = decode_ids(encode_texts(read_table(spark, sf_dir, "documents"), path), path)
+    return texts.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(repair_conversations(damaged(read_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
@@ -75,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_bpe": op11_bpe,
+    "op12_clustering": op12_clustering,
+    "op13_conversation_repair": op13_conversation_repair,
 }

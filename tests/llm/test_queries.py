@@ -17,7 +17,7 @@ def test_query(spark, sf_dir, name):
     rows = df.collect()
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "embeddings", "pages", "benchmark"):
+        for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         cursor = con.execute(ORACLES[name])
         columns = [c[0] for c in cursor.description]
