@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DATE
@@ -68,6 +68,46 @@ def trend_last_hour(trend: DataFrame, as_of: str) -> DataFrame:
     return trend.where((minute > end - F.expr("INTERVAL 60 MINUTES")) & (minute <= end))
 
 
+def sliding_click_runs(clicks: DataFrame, length: int = 3600, slide: int = 10) -> DataFrame:
+    """Clicks of each ad in sliding windows of ``length`` seconds every ``slide`` seconds, as runs.
+
+    A row (ad_id, first_start, last_start, click_count) says that all windows that begin at
+    first_start, first_start + slide, ... last_start hold so many clicks; windows without clicks
+    are in none.  A click is counted once in its pane of ``slide`` seconds, not once in each of its
+    length / slide windows: a pane's count enters with the first window that reaches it and
+    leaves after the last, and running sums over these two steps a pane give the windows.
+    After the panes an ad has at most two rows for every ``slide`` seconds of the time covered.
+    """
+    if length % slide:
+        raise ValueError("the length has to be a multiple of the slide")
+    pane = F.floor(F.unix_timestamp("ts") / slide) * slide
+    panes = clicks.where("ts is not null").groupBy("ad_id", pane.cast("bigint").alias("pane")).agg(F.count("*").alias("n"))
+    enters, leaves = F.struct((F.col("pane") - length + slide).alias("at"), F.col("n").alias("n")), F.struct((F.col("pane") + slide).alias("at"), (-F.col("n")).alias("n"))
+    steps = panes.select("ad_id", F.explode(F.array(enters, leaves)).alias("s")).groupBy("ad_id", F.col("s.at").alias("at")).agg(F.sum("s.n").alias("n"))
+    order = Window.partitionBy("ad_id").orderBy("at")
+    runs = steps.where("n <> 0").select("ad_id", F.col("at").alias("first_start"), (F.lead("at").over(order) - slide).alias("last_start"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("click_count"))
+    return runs.where("click_count > 0")
+
+
+def _start_text(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+
+
+def sliding_ad_clicks_by_pane(clicks: DataFrame, length: int = 3600, slide: int = 10) -> DataFrame:
+    """One row for each window with clicks: window_start, ad_id, click_count."""
+    runs = sliding_click_runs(clicks, length, slide)
+    starts = runs.select(F.explode(F.sequence("first_start", "last_start", F.lit(slide).cast("bigint"))).alias("start"), "ad_id", "click_count")
+    return starts.select(_start_text(F.col("start")).alias("window_start"), "ad_id", "click_count")
+
+
+def busiest_windows(clicks: DataFrame, length: int = 3600, slide: int = 10) -> DataFrame:
+    """The sliding window with most clicks of each ad, the earliest of equals, and how many windows have clicks."""
+    runs = sliding_click_runs(clicks, length, slide)
+    best = F.min_by(F.col("first_start"), F.struct(-F.col("click_count"), F.col("first_start")))
+    windows = F.sum((F.col("last_start") - F.col("first_start")) / slide + 1).cast("bigint")
+    return runs.groupBy("ad_id").agg(_start_text(best).alias("window_start"), F.max("click_count").alias("click_count"), windows.alias("windows"))
+
+
 def sliding_ad_clicks(clicks: DataFrame, length: str = "60 minutes", slide: str = "10 minutes") -> DataFrame:
     """Clicks of each ad in sliding windows."""
     counts = clicks.groupBy(F.window("ts", length, slide), "ad_id").agg(F.count("*").alias("click_count"))

@@ -109,6 +109,25 @@ def _with(prefix: str, select: str) -> str:
     return f"WITH {prefix}\n{select}"
 
 
+def _deliveries(late: bool = True, batches: int = 3, threshold: int = 3) -> str:
+    """Replays the deliveries: each is parted into late clicks and others, and these are filtered by the list of before."""
+    days = "CASE WHEN ts >= '2024-01-21' THEN 3 WHEN ts >= '2024-01-11' THEN 2 ELSE 1 END"
+    too_late = "CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM delivered o WHERE o.delivery < c.delivery)"
+    parts = [f""",
+delivered AS MATERIALIZED (SELECT *, CASE WHEN {days} = 1 AND event_id % 7 = 3 THEN 3 ELSE {days} END AS delivery FROM clicks),
+late AS MATERIALIZED (SELECT * FROM delivered c WHERE {too_late if late else "false"}),
+timely AS MATERIALIZED (SELECT * FROM delivered ANTI JOIN late USING (event_id)),
+list0 AS (SELECT CAST(NULL AS BIGINT) AS user_id WHERE false)"""]
+    for i in range(1, batches + 1):
+        so_far = " UNION ALL ".join(f"SELECT * FROM pass{j}" for j in range(1, i + 1))
+        parts.append(f"""pass{i} AS MATERIALIZED (SELECT * FROM timely WHERE delivery = {i} AND user_id NOT IN (SELECT user_id FROM list{i - 1})),
+list{i} AS MATERIALIZED (SELECT DISTINCT user_id FROM (SELECT user_id FROM ({so_far}) GROUP BY date, user_id, ad_id HAVING count(*) >= {threshold}))""")
+    parts.append(f"""passed AS ({" UNION ALL ".join(f"SELECT * FROM pass{i}" for i in range(1, batches + 1))}),
+passed_stat AS (SELECT date, province, city, ad_id, count(*) AS click_count FROM passed GROUP BY ALL),
+passed_top AS (SELECT date, province, ad_id, count(*) AS click_count FROM passed GROUP BY date, province, ad_id QUALIFY row_number() OVER (PARTITION BY date, province ORDER BY count(*) DESC, ad_id) <= 3)""")
+    return ",\n".join(parts)
+
+
 _CLICK = "event_id, province, city, user_id, ad_id"
 
 ORACLES: dict[str, str] = {
@@ -136,6 +155,7 @@ ORACLES: dict[str, str] = {
     "top10_session": _with(_CATEGORIES, "SELECT * FROM best"),
     "top10_session_detail": _with(_CATEGORIES, f"SELECT {_DETAIL.replace('session_id', 'd.session_id', 1)} FROM details d JOIN (SELECT session_id AS s, category_id AS c FROM best) ON d.session_id = s"),
     "page_splits": _with(_PAGES, "SELECT * FROM splits"),
+    "ranged_page_splits": _with(_PAGES, "SELECT * FROM splits"),
     "page_split_pv": _with(_PAGES, "SELECT from_page, to_page, pv FROM pv"),
     "start_page_pv": _with(_PAGES, "SELECT count(*) AS pv FROM uva WHERE page_id = 3"),
     "page_convert_rate": _with(_PAGES, "SELECT * FROM rounded"),
@@ -146,9 +166,9 @@ ORACLES: dict[str, str] = {
     "user_ad_click_counts": _with(_ADS, "SELECT * FROM user_ad"),
     "blacklist_users": _with(_ADS, "SELECT * FROM listed"),
     "filter_blacklist": _with(_ADS, f"SELECT {_CLICK} FROM clicks WHERE user_id NOT IN (SELECT user_id FROM listed)"),
-    "apply_dynamic_blacklist": _with(_ADS, f"""SELECT {_CLICK} FROM clicks LEFT JOIN (SELECT user_id, min(event_id) AS crossed FROM (SELECT user_id, event_id,
+    "apply_dynamic_blacklist": _with(_ADS, f"""SELECT {_CLICK} FROM clicks LEFT JOIN (SELECT user_id, min({{'ts': ts, 'e': event_id}}) AS crossed FROM (SELECT user_id, ts, event_id,
   count(*) OVER (PARTITION BY date, user_id, ad_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM clicks) WHERE n >= 3 GROUP BY 1) USING (user_id)
-  WHERE crossed IS NULL OR event_id <= crossed"""),
+  WHERE crossed IS NULL OR {{'ts': ts, 'e': event_id}} <= crossed"""),
     "ad_stat": _with(_ADS, "SELECT * FROM stat"),
     "province_ad_counts": _with(_ADS, "SELECT * FROM prov"),
     "province_top3": _with(_ADS, "SELECT * FROM prov_top"),
@@ -156,6 +176,10 @@ ORACLES: dict[str, str] = {
     "trend_last_hour": _with(_ADS, "SELECT * FROM trend WHERE date || ' ' || hour || ':' || minute > '2024-01-15 11:00' AND date || ' ' || hour || ':' || minute <= '2024-01-15 12:00'"),
     "sliding_ad_clicks": _with(_ADS, """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, ad_id, count(*) AS click_count
   FROM (SELECT ad_id, time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(CAST(10 * i AS INTEGER)) AS w FROM clicks, range(6) r(i)) GROUP BY ALL"""),
+    "sliding_ad_clicks_by_pane": _with(_ADS, """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, ad_id, count(*) AS click_count
+  FROM (SELECT ad_id, time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(CAST(10 * i AS INTEGER)) AS w FROM clicks, range(6) r(i)) GROUP BY ALL"""),
+    "busiest_windows": _with(_ADS, """SELECT ad_id, strftime(arg_min(w, {'n': -n, 'w': w}), '%Y-%m-%d %H:%M:%S') AS window_start, max(n) AS click_count, count(*) AS windows
+  FROM (SELECT w, ad_id, count(*) AS n FROM (SELECT ad_id, time_bucket(INTERVAL 10 SECONDS, ts) - to_seconds(CAST(10 * i AS INTEGER)) AS w FROM clicks, range(360) r(i)) GROUP BY ALL) GROUP BY ad_id"""),
     "upsert_overwrite": _with(_ADS, "SELECT * FROM upd UNION ALL SELECT * FROM cur ANTI JOIN upd USING (date, province, city, ad_id)"),
     "upsert_add": _with(_ADS, "SELECT date, province, city, ad_id, CAST(sum(click_count) AS BIGINT) AS click_count FROM (SELECT * FROM cur UNION ALL SELECT * FROM upd) GROUP BY ALL"),
     "replace_groups": _with(_ADS, "SELECT * FROM upd WHERE ad_id < 3 UNION ALL SELECT * FROM cur WHERE (date, province) NOT IN (SELECT (date, province) FROM upd WHERE ad_id < 3)"),
@@ -164,6 +188,9 @@ ORACLES: dict[str, str] = {
     "salted_count": f"SELECT city_id, count(*) AS row_count FROM ({_BOUGHT}) GROUP BY 1",
     "salted_join": _with(_UVA, _JOINED),
     "skew_isolated_join": _with(_UVA, _JOINED),
+    "weighted_skew_join": _with(_UVA, _JOINED),
+    "salted_group_concat": _with(_UVA, f"SELECT product_id, array_to_string(list_sort(list_distinct(list(city_id || ':' || city_name))), ',') AS city_infos FROM ({_BOUGHT}) JOIN cities USING (city_id) GROUP BY 1"),
+    "salted_distinct": f"SELECT city_id, array_to_string(list_sort(list_distinct(list(product_id))), ',') AS product_ids, count(DISTINCT product_id) AS n_products FROM ({_BOUGHT}) GROUP BY 1",
     "date_functions": _with(_UVA, """SELECT event_id, action_time < date || ' 12:00:00' AS is_before, action_time > date || ' 12:00:00' AS is_after,
   date_diff('second', CAST(date || ' 12:00:00' AS TIMESTAMP), CAST(action_time AS TIMESTAMP)) AS seconds, CAST(0 AS BIGINT) AS unreadable, date || '_' || substr(action_time, 12, 2) AS date_hour,
   date AS date_text, action_time AS time_text, replace(date, '-', '') AS date_key, replace(date, '-', '') || substr(action_time, 12, 2) || substr(action_time, 15, 2) AS minute_key, date AS key_back FROM uva"""),
@@ -180,6 +207,9 @@ ORACLES: dict[str, str] = {
     "ad_click_trend_stream": _with(_ADS, "SELECT * FROM trend"),
     "blacklist_stream": _with(_ADS, "SELECT * FROM listed"),
     "province_top3_stream": _with(_ADS, "SELECT * FROM prov_top"),
-    # the table is one file, so one batch, which is filtered with the empty list
-    "ad_job_stream": _with(_ADS, "SELECT * FROM prov_top"),
+    "ad_job_stream": _with(_ADS + _deliveries(late=False), "SELECT * FROM passed_top"),
+    "ad_chain_stream": _with(_ADS + _deliveries(), """SELECT 'stat' AS kind, date, province, city, ad_id, click_count FROM passed_stat
+  UNION ALL SELECT 'top', date, province, NULL, ad_id, click_count FROM passed_top
+  UNION ALL SELECT 'late', date, NULL, NULL, NULL, count(*) FROM late GROUP BY date
+  UNION ALL SELECT 'listed', NULL, NULL, NULL, user_id, 1 FROM list3"""),
 }

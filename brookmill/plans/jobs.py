@@ -8,6 +8,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..operators import ads, categories, pages, products, sessions
 from ..params import TaskParams
+from ..sources.database import Database
 from ..sources.merge import append
 from ..sources.readers import actions_by_date, click_actions_by_date
 
@@ -68,6 +69,14 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
         append(df, f"{folder}/{name}")
 
 
+def save_to_database(tables: dict[str, DataFrame], database: Database, run: int) -> list[str]:
+    """Appends each result table in the database, once for each run number; returns those that were new.
+
+    Run numbers rise: a number at or below a table's last one counts as done.
+    """
+    return [name for name, df in tables.items() if database.append(df, name, run)]
+
+
 def session(app: str = "shop", hive: bool = False) -> SparkSession:
     """A session for the jobs, with the Hive catalog if asked for."""
     builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -14,6 +14,7 @@ from .params import TaskParams
 from .sources import adapters, merge
 from .sources.readers import actions_by_date, click_actions_by_date
 from .sources.scratch import new_folder
+from .sources.tables import EpochTable, Folder
 from .streaming import ads as stream
 
 START, END = "2024-01-05", "2024-01-25"
@@ -33,8 +34,8 @@ def query(f: Query) -> Query:
     return f
 
 
-def _actions(s, d):
-    return actions_by_date(adapters.user_visit_action(s, d), START, END)
+def _actions(s, d, dates=(START, END)):
+    return actions_by_date(adapters.user_visit_action(s, d, dates), *dates)
 
 
 def _sessions(s, d):
@@ -68,7 +69,7 @@ def q_actions_by_date(s, d):
 
 @query
 def q_click_actions_by_date(s, d):
-    return click_actions_by_date(adapters.user_visit_action(s, d), START, END)
+    return click_actions_by_date(adapters.user_visit_action(s, d, (START, END)), START, END)
 
 
 @query
@@ -107,7 +108,7 @@ def sessions_per_hour(s, d):
 
 
 def _drawn_from(s, d):
-    return sessions.aggregate_sessions(actions_by_date(adapters.user_visit_action(s, d), *DRAW))
+    return sessions.aggregate_sessions(_actions(s, d, DRAW))
 
 
 @query
@@ -123,7 +124,7 @@ def random_extract_sessions(s, d):
 @query
 def random_extract_detail(s, d):
     drawn = sessions.random_extract_sessions(_drawn_from(s, d), seed="7")
-    return sessions.to_session_detail(sessions.session_detail(actions_by_date(adapters.user_visit_action(s, d), *DRAW), drawn), 1)
+    return sessions.to_session_detail(sessions.session_detail(_actions(s, d, DRAW), drawn), 1)
 
 
 for _name in ("category_universe", "click_category_counts", "order_category_counts", "pay_category_counts", "category_counts", "top10_category"):
@@ -149,6 +150,11 @@ def page_splits(s, d):
     return pages.page_splits(adapters.user_visit_action(s, d))
 
 
+@query
+def ranged_page_splits(s, d):
+    return pages.ranged_page_splits(adapters.user_visit_action(s, d))
+
+
 @query
 def page_split_pv(s, d):
     return pages.page_split_pv(adapters.user_visit_action(s, d), PARAMS.page_flow)
@@ -170,7 +176,7 @@ def page_convert_text(s, d):
 
 
 def _basic(s, d):
-    return products.click_product_basic(click_actions_by_date(adapters.user_visit_action(s, d), START, END), adapters.city_info(s, d))
+    return products.click_product_basic(click_actions_by_date(adapters.user_visit_action(s, d, (START, END)), START, END), adapters.city_info(s, d))
 
 
 @query
@@ -242,6 +248,18 @@ def sliding_ad_clicks(s, d):
     return ads.sliding_ad_clicks(adapters.ad_clicks(s, d))
 
 
+@query
+def busiest_windows(s, d):
+    """An hour every ten seconds."""
+    return ads.busiest_windows(adapters.ad_clicks(s, d), 3600, 10)
+
+
+@query
+def sliding_ad_clicks_by_pane(s, d):
+    """The windows of ``sliding_ad_clicks``, from panes."""
+    return ads.sliding_ad_clicks_by_pane(adapters.ad_clicks(s, d), 3600, 600).withColumn("window_start", F.substring("window_start", 1, 16))
+
+
 def _halves(s, d):
     """Counts by (date, province, city, ad) up to the split date, and from two days before it on."""
     stat = ads.ad_stat(adapters.ad_clicks(s, d))
@@ -297,6 +315,29 @@ def skew_isolated_join(s, d):
     return _joined(skew.skew_isolated_join(adapters.purchases_as_clicks(s, d).select("city_id", "product_id"), adapters.city_info(s, d), "city_id", salt=10))
 
 
+@query
+def weighted_skew_join(s, d):
+    return _joined(skew.weighted_skew_join(adapters.purchases_as_clicks(s, d).select("city_id", "product_id"), adapters.city_info(s, d), "city_id", tasks=40))
+
+
+def _buyer_cities(s, d):
+    """(product_id, city) of all order lines."""
+    cities = adapters.city_info(s, d).select("city_id", C.concat_long_string(F.col("city_id"), ":", F.col("city_name")).alias("city"))
+    return adapters.purchases_as_clicks(s, d).join(cities, "city_id").select("product_id", "city")
+
+
+@query
+def salted_group_concat(s, d):
+    return skew.salted_group_concat(_buyer_cities(s, d), ["product_id"], "city", "city_infos")
+
+
+@query
+def salted_distinct(s, d):
+    """The products bought in each city; every city is a hot key."""
+    found = skew.salted_distinct(adapters.purchases_as_clicks(s, d), ["city_id"], "product_id")
+    return found.select("city_id", F.array_join(F.col("values").cast("array<string>"), ",").alias("product_ids"), F.col("n_values").alias("n_products"))
+
+
 @query
 def date_functions(s, d):
     a = adapters.user_visit_action(s, d).select("event_id", F.col("action_time").alias("t"), F.concat("date", F.lit(" 12:00:00")).alias("noon"))
@@ -369,48 +410,108 @@ def _is_folder(s: SparkSession, d: str) -> bool:
     return any("/events.parquet/" in f for f in s.read.parquet(f"{d}/events.parquet").inputFiles())
 
 
-def _last(table: stream.VersionedTable, q) -> DataFrame:
-    """The table after a stream that ends by itself."""
+def _ended(q) -> None:
+    """Waits for a stream that ends by itself."""
     if not q.awaitTermination(600):
         q.stop()
         raise TimeoutError("the stream did not end")
-    return table.read(table.last)
+
+
+def _last(table: EpochTable, q) -> DataFrame:
+    """The table after a stream that ends by itself."""
+    _ended(q)
+    return table.read()
 
 
 @query
 def ad_stat_stream(s, d):
     folder = new_folder(s, "ad-stat")
-    table = stream.VersionedTable(s, f"{folder}/table", stream.AD_STAT)
+    table = EpochTable(s, f"{folder}/table", stream.AD_STAT)
     return _last(table, stream.keep_latest(stream.ad_stat_stream(_click_stream(s, d)), table, STAT_KEYS, f"{folder}/checkpoint"))
 
 
 @query
 def ad_click_trend_stream(s, d):
     folder = new_folder(s, "ad-trend")
-    table = stream.VersionedTable(s, f"{folder}/table", stream.AD_TREND)
+    table = EpochTable(s, f"{folder}/table", stream.AD_TREND)
     return _last(table, stream.keep_latest(stream.ad_click_trend_stream(_click_stream(s, d)), table, ["date", "hour", "minute", "ad_id"], f"{folder}/checkpoint"))
 
 
 @query
 def blacklist_stream(s, d):
     folder = new_folder(s, "ad-blacklist")
-    counts = stream.VersionedTable(s, f"{folder}/counts", stream.USER_AD)
-    listed = stream.VersionedTable(s, f"{folder}/listed", "user_id long")
+    counts = EpochTable(s, f"{folder}/counts", stream.USER_AD)
+    listed = EpochTable(s, f"{folder}/listed", stream.LISTED, None)
     return _last(listed, stream.blacklist_stream(_click_stream(s, d), counts, listed, f"{folder}/checkpoint", THRESHOLD))
 
 
 @query
 def province_top3_stream(s, d):
     folder = new_folder(s, "ad-tops")
-    stat = stream.VersionedTable(s, f"{folder}/stat", stream.AD_STAT)
-    tops = stream.VersionedTable(s, f"{folder}/tops", stream.PROVINCE_TOP)
+    stat = EpochTable(s, f"{folder}/stat", stream.AD_STAT)
+    tops = EpochTable(s, f"{folder}/tops", stream.PROVINCE_TOP)
     return _last(tops, stream.province_top3_stream(stream.ad_stat_stream(_click_stream(s, d)), stat, tops, f"{folder}/checkpoint"))
 
 
+#: First days of the deliveries of clicks; every LATE_OF-th click of the first comes with the last.
+DELIVERIES = ("2024-01-01", "2024-01-11", "2024-01-21")
+LATE_OF = 7
+
+
+def _delivered(s: SparkSession, d: str) -> DataFrame:
+    """All ad clicks with the number of their delivery, from 1."""
+    number = F.lit(1)
+    for i, day in enumerate(DELIVERIES[1:], 2):
+        number = F.when(F.col("ts") >= F.lit(day).cast("timestamp"), i).otherwise(number)
+    clicks = adapters.ad_clicks(s, d)
+    late = (number == 1) & (F.col("event_id") % LATE_OF == 3)
+    return clicks.select("ts", "province", "city", "user_id", "ad_id", F.when(late, len(DELIVERIES)).otherwise(number).alias("delivery"))
+
+
+def _deliver(s: SparkSession, d: str, folder: str, run) -> None:
+    """Puts the deliveries into ``folder``/in one after the other; ``run`` is called after each with the
+    stream of clicks, so every delivery is a batch of a job that has been started anew."""
+    clicks = _delivered(s, d)
+    Folder(s, folder).make("in")
+    for i in range(1, len(DELIVERIES) + 1):
+        clicks.where(F.col("delivery") == i).drop("delivery").write.parquet(f"{folder}/staged-in/delivery={i}")
+        Folder(s, folder).rename(f"staged-in/delivery={i}", f"in/delivery={i}")
+        run(s.readStream.schema(f"{stream.CLICK}, delivery int").parquet(f"{folder}/in").drop("delivery"))
+
+
 @query
 def ad_job_stream(s, d):
-    running, tables = stream.ad_job_stream(_click_stream(s, d), new_folder(s, "ad-job"), THRESHOLD)
-    return _last(tables["tops"], running)
+    """The job in one query over all deliveries; tops of what passed."""
+    folder = new_folder(s, "ad-job")
+    _deliver(s, d, folder, lambda clicks: _ended(stream.ad_job_stream(clicks, f"{folder}/job", THRESHOLD)[0]))
+    return stream.job_tables(s, f"{folder}/job")["tops"].read()
+
+
+@query
+def ad_chain_stream(s, d):
+    """The chained queries over all deliveries, both started anew for each: running counts of the
+    clicks that passed, kept as state that expires, their tops, the late clicks of each day, and
+    the listed users."""
+    folder = f'{new_folder(s, "ad-chain")}/job'
+    tables = stream.chain_tables(s, folder)
+
+    def run(clicks: DataFrame) -> None:
+        _ended(stream.filtered_clicks_stream(clicks, folder, THRESHOLD))
+        second, found = stream.filtered_stat_stream(s, folder)
+        _ended(second)
+        tables.update(found)
+
+    _deliver(s, d, folder.removesuffix("/job"), run)
+
+    def rows(kind: str, df: DataFrame, **columns: Column) -> DataFrame:
+        named = {c: F.col(c) if c in df.columns else F.lit(None).cast("bigint" if c == "ad_id" else "string") for c in STAT_KEYS} | columns
+        return df.select(F.lit(kind).alias("kind"), *(x.alias(c) for c, x in named.items()), *([] if "click_count" in columns else ["click_count"]))
+
+    return (
+        rows("stat", tables["stat"].read()).unionByName(rows("top", tables["tops"].read()))
+        .unionByName(rows("late", stream.late_counts(tables["late"].read()), click_count=F.col("late_count")))
+        .unionByName(rows("listed", tables["listed"].read(), ad_id=F.col("user_id"), click_count=F.lit(1).cast("bigint")))
+    )
 
 
 QUERIES["actions_by_date"] = QUERIES.pop("q_actions_by_date")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DATE, TIME
+from .readers import between_dates
 
 #: Regions as areas.
 AREA_OF_REGION = {
@@ -17,17 +18,20 @@ AREA_OF_REGION = {
 }
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, dates: tuple[str, str] | None = None) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if dates:  # bounds on the stored column, for the scan
+        events = events.where(between_dates(F.col("ts"), events.schema["ts"].dataType.simpleString(), *dates))
     return events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions of the event stream; ``event_id`` is kept to order actions of one second."""
+def user_visit_action(spark: SparkSession, sf_dir: str, dates: tuple[str, str] | None = None) -> DataFrame:
+    """Actions of the event stream, of all ``dates`` or from the first to the second; ``event_id`` is
+    kept to order actions of one second."""
     kind, k = F.col("event_type"), F.col("k")
     text = lambda c: c.cast("string")
     date = F.date_format("ts", DATE)
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, dates).select(
         date.alias("date"),
         "user_id",
         F.concat_ws("_", text(F.col("user_id")), date).alias("session_id"),

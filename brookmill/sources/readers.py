@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,26 @@ def actions_by_date(actions: DataFrame, start: str, end: str) -> DataFrame:
     return actions.where(F.col("date").between(start, end))
 
 
+def between_dates(time: Column, kind: str, start: str, end: str) -> Column:
+    """The time lies on a date from ``start`` to ``end``, both included.
+
+    The bounds are constants of the stored column's own type (``kind``), so the source can use
+    them: a comparison with a text made from the time would not reach it.
+    """
+    first, after = (F.lit(d).cast(kind) for d in (start, str(date.fromisoformat(end) + timedelta(days=1))))
+    return (time >= first) & (time < after)
+
+
+def write_by_date(actions: DataFrame, path: str) -> None:
+    """Actions in a folder for each date, as ``actions_by_date`` prunes them."""
+    actions.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(path)
+
+
+def read_by_date(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_by_date`` wrote; the schema keeps the date a text."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def click_actions_by_date(actions: DataFrame, start: str, end: str) -> DataFrame:
     """(city_id, product_id) of the product clicks of those dates."""
     clicks = actions_by_date(actions, start, end).where(F.col("click_product_id").isNotNull())

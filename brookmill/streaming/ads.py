@@ -1,7 +1,7 @@
 """Ad-click statistics on a stream: running counts, minute trend, dynamic blacklist, province tops.
 
-State that outlives a batch is kept as one folder per epoch.  An epoch reads the folder of
-the epoch before it and writes its own, so an epoch that runs twice gives the same table.
+What outlives a batch is kept in tables that change epoch by epoch (``EpochTable``): an epoch
+writes the dates that it touches, and gives the same tables when it runs again.
 """
 
 from __future__ import annotations
@@ -10,61 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ads import blacklist_users, filter_blacklist, province_ad_counts, province_top3, trend_columns, user_ad_click_counts
+from ..operators.ads import blacklist_users, filter_blacklist, province_ad_counts, province_top3, trend_columns, user_ad_click_counts, with_date
 from ..schemas import DATE
 from ..sources.merge import new_blacklist_users, replace_groups, upsert_add, upsert_overwrite, write_stream
-
-
-class VersionedTable:
-    """A table with a folder for each epoch.
-
-    ``keep`` epochs stay (two are enough for an epoch that runs again), or all of them.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int | None = None):
-        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
-        self.epochs = self._written()
-
-    def _folder(self, epoch: int) -> str:
-        return f"{self.path}/v={epoch}"
-
-    def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _written(self) -> list[int]:
-        """The epochs that are there whole, as after a restart."""
-        system, path = self._files()
-        if not system.exists(path):
-            return []
-        names = [f.getPath() for f in system.listStatus(path)]
-        done = [p.getName() for p in names if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done if n.startswith("v="))
-
-    @property
-    def last(self) -> int:
-        """The epoch written last; -1 before the first."""
-        return self.epochs[-1] if self.epochs else -1
-
-    def read(self, epoch: int) -> DataFrame:
-        """The table after ``epoch``; empty before the first."""
-        if epoch < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(epoch))
-
-    def write(self, df: DataFrame, epoch: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._folder(epoch))
-        self.epochs = sorted({*self.epochs, epoch})
-        while self.keep and len(self.epochs) > self.keep:
-            system, path = self._files()
-            system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v={self.epochs.pop(0)}"), True)
-        return self.read(epoch)
-
+from ..sources.tables import EpochTable, Folder
 
 AD_STAT = "date string, province string, city string, ad_id long, click_count long"
 AD_TREND = "date string, hour string, minute string, ad_id long, click_count long"
 USER_AD = "date string, user_id long, ad_id long, click_count long"
 PROVINCE_TOP = "date string, province string, ad_id long, click_count long"
+LISTED = "user_id long"
+CLICK = "ts timestamp, province string, city string, user_id long, ad_id long"
+
+STAT_KEYS = ["date", "province", "city", "ad_id"]
+USER_KEYS = ["date", "user_id", "ad_id"]
 
 
 def ad_stat_stream(clicks: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -78,61 +37,164 @@ def ad_click_trend_stream(clicks: DataFrame, watermark: str = "60 minutes") -> D
     return trend_columns(clicks.withWatermark("ts", watermark).groupBy(F.window("ts", "1 minute"), "ad_id").agg(F.count("*").alias("click_count")))
 
 
-def keep_latest(updates: DataFrame, table: VersionedTable, keys: list[str], checkpoint: str) -> StreamingQuery:
+def keep_latest(updates: DataFrame, table: EpochTable, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Merges a stream of updated rows into a table."""
-    return write_stream(updates, lambda batch, epoch: table.write(upsert_overwrite(table.read(epoch - 1), batch, keys), epoch), checkpoint, "update")
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows = rows.persist()
+        table.merge(rows, epoch, lambda current, new: upsert_overwrite(current, new, keys))
+        rows.unpersist()
+
+    return write_stream(updates, batch, checkpoint, "update")
 
 
 def update_blacklist(batch: DataFrame, counts: DataFrame, blacklist: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFrame]:
     """(counts, blacklist) after a batch that has been filtered with the list as it was before."""
-    counts = upsert_add(counts, user_ad_click_counts(batch), ["date", "user_id", "ad_id"], "click_count")
+    counts = upsert_add(counts, user_ad_click_counts(batch), USER_KEYS, "click_count")
     return counts, blacklist.unionByName(new_blacklist_users(blacklist_users(counts, threshold), blacklist))
 
 
-def blacklist_stream(clicks: DataFrame, counts: VersionedTable, blacklist: VersionedTable, checkpoint: str, threshold: int = 100) -> StreamingQuery:
+def count_users(passed: DataFrame, counts: EpochTable, listed: EpochTable, epoch: int, threshold: int) -> None:
+    """Adds a filtered batch to the click counts, and users that reach the threshold to the list.
+
+    Only counts of the batch's dates can have grown, so only these are looked at.
+    """
+    new = user_ad_click_counts(passed).persist()
+    names = counts.merge(new, epoch, lambda current, more: upsert_add(current, more, USER_KEYS, "click_count"))
+    over = blacklist_users(counts.read(epoch, names), threshold)
+    listed.append(new_blacklist_users(over, listed.read(epoch - 1)), epoch)
+    new.unpersist()
+
+
+def refresh_tops(rows: DataFrame, names: list[str], stat: EpochTable, tops: EpochTable, epoch: int, n: int) -> None:
+    """Ranks the dates and provinces of ``rows``, which lie in the partitions ``names``, anew."""
+    pairs = rows.select("date", "province").distinct()
+    now = stat.read(epoch, names).join(pairs, ["date", "province"], "left_semi")
+    best = province_top3(province_ad_counts(now), n).persist()
+    tops.merge(best, epoch, lambda current, new: replace_groups(current, new, ["date", "province"]))
+    best.unpersist()
+
+
+def blacklist_stream(clicks: DataFrame, counts: EpochTable, blacklist: EpochTable, checkpoint: str, threshold: int = 100) -> StreamingQuery:
     """Keeps click counts and the blacklist; a listed user's later clicks are not counted."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        listed = blacklist.read(epoch - 1)
-        new_counts, _ = update_blacklist(filter_blacklist(rows, listed), counts.read(epoch - 1), listed, threshold)
-        written = counts.write(new_counts, epoch)
-        blacklist.write(listed.unionByName(new_blacklist_users(blacklist_users(written, threshold), listed)), epoch)
+        count_users(filter_blacklist(rows, blacklist.read(epoch - 1)), counts, blacklist, epoch, threshold)
 
     return write_stream(clicks, batch, checkpoint)
 
 
-def province_top3_stream(updates: DataFrame, stat: VersionedTable, tops: VersionedTable, checkpoint: str, n: int = 3) -> StreamingQuery:
+def province_top3_stream(updates: DataFrame, stat: EpochTable, tops: EpochTable, checkpoint: str, n: int = 3) -> StreamingQuery:
     """Merges updated counts and refreshes the tops of the dates and provinces that they touch."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        now = stat.write(upsert_overwrite(stat.read(epoch - 1), rows, ["date", "province", "city", "ad_id"]), epoch)
-        touched = now.join(rows.select("date", "province").distinct(), ["date", "province"], "left_semi")
-        tops.write(replace_groups(tops.read(epoch - 1), province_top3(province_ad_counts(touched), n), ["date", "province"]), epoch)
+        rows = rows.persist()
+        names = stat.merge(rows, epoch, lambda current, new: upsert_overwrite(current, new, STAT_KEYS))
+        refresh_tops(rows, names, stat, tops, epoch, n)
+        rows.unpersist()
 
     return write_stream(updates, batch, checkpoint, "update")
 
 
-def ad_job_stream(clicks: DataFrame, folder: str, threshold: int = 100, n: int = 3, interval: str | None = None) -> tuple[StreamingQuery, dict[str, VersionedTable]]:
-    """The real-time job: clicks of listed users go, the others are counted for the list, for the
-    running (date, province, city, ad) counts and for the province tops, all in one batch.
+def job_tables(spark: SparkSession, folder: str) -> dict[str, EpochTable]:
+    """The tables of the real-time job: user_counts, listed, stat, tops."""
+    schemas = {"user_counts": USER_AD, "listed": LISTED, "stat": AD_STAT, "tops": PROVINCE_TOP}
+    return {name: EpochTable(spark, f"{folder}/{name}", schema, None if name == "listed" else "date") for name, schema in schemas.items()}
+
+
+def ad_job_stream(clicks: DataFrame, folder: str, threshold: int = 100, n: int = 3, interval: str | None = None) -> tuple[StreamingQuery, dict[str, EpochTable]]:
+    """The real-time job in one query: clicks of listed users go, the others are counted for the list,
+    for the running (date, province, city, ad) counts and for the province tops, all in one batch.
 
     The minute trend reads all clicks and is a stream of its own.  A restart with the same
-    folder goes on after the last whole epoch.
+    folder goes on after the last whole epoch.  Counts are kept in tables only; the chain of
+    ``filtered_clicks_stream`` and ``filtered_stat_stream`` keeps them as state that expires.
     """
-    spark = clicks.sparkSession
-    schemas = {"user_counts": USER_AD, "listed": "user_id long", "stat": AD_STAT, "tops": PROVINCE_TOP}
-    tables = {name: VersionedTable(spark, f"{folder}/{name}", schema, keep=2) for name, schema in schemas.items()}
+    tables = job_tables(clicks.sparkSession, folder)
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        user_counts, listed, stat, tops = (t.read(epoch - 1) for t in tables.values())
-        passed = filter_blacklist(rows, listed).persist()
-        counted = tables["user_counts"].write(upsert_add(user_counts, user_ad_click_counts(passed), ["date", "user_id", "ad_id"], "click_count"), epoch)
-        tables["listed"].write(listed.unionByName(new_blacklist_users(blacklist_users(counted, threshold), listed)), epoch)
-        keys = ["date", "province", "city", "ad_id"]
-        new = passed.groupBy(F.date_format("ts", DATE).alias("date"), *keys[1:]).agg(F.count("*").alias("click_count"))
-        now = tables["stat"].write(upsert_add(stat, new, keys, "click_count"), epoch)
-        touched = now.join(new.select("date", "province").distinct(), ["date", "province"], "left_semi")
-        tables["tops"].write(replace_groups(tops, province_top3(province_ad_counts(touched), n), ["date", "province"]), epoch)
+        passed = filter_blacklist(rows, tables["listed"].read(epoch - 1)).persist()
+        count_users(passed, tables["user_counts"], tables["listed"], epoch, threshold)
+        new = with_date(passed).groupBy(STAT_KEYS).agg(F.count("*").alias("click_count")).persist()
+        names = tables["stat"].merge(new, epoch, lambda current, more: upsert_add(current, more, STAT_KEYS, "click_count"))
+        refresh_tops(new, names, tables["stat"], tables["tops"], epoch, n)
+        new.unpersist()
         passed.unpersist()
 
     return write_stream(clicks, batch, f"{folder}/checkpoint", interval=interval), tables
+
+
+# --- the job as two chained queries -----------------------------------------------------------
+
+
+def split_late(rows: DataFrame, watermark: object | None, window: int = 86_400) -> tuple[DataFrame, DataFrame]:
+    """(rows on time, late rows): late ones lie in a window of so many seconds that ends at or before the watermark.
+
+    A row without a time has no window that it could be counted in, so it goes with the late ones.
+    """
+    end = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / window) * window + window)
+    on_time = F.col("ts").isNotNull() if watermark is None else F.coalesce(end > F.lit(watermark), F.lit(False))
+    return rows.where(on_time), rows.where(~on_time)
+
+
+def chain_tables(spark: SparkSession, folder: str) -> dict[str, EpochTable]:
+    """The tables of the first query of the chain: user_counts, listed, late (rows), latest (one time)."""
+    return {
+        "user_counts": EpochTable(spark, f"{folder}/user_counts", USER_AD), "listed": EpochTable(spark, f"{folder}/listed", LISTED, None),
+        "late": EpochTable(spark, f"{folder}/late", f"{CLICK}, date string"), "latest": EpochTable(spark, f"{folder}/latest", "ts timestamp", None),
+    }
+
+
+def filtered_clicks_stream(clicks: DataFrame, folder: str, threshold: int = 100, delay: str = "1 day", interval: str | None = None) -> StreamingQuery:
+    """First query of the chain: writes each batch's clicks on time and of users not listed to
+    ``filtered/epoch=N``, and keeps the counts, the list and the late clicks.
+
+    A batch is late by the greatest time of the batches before it, less ``delay``.  Its folder
+    is moved into place when all its tables are written; the move ends the epoch, and an epoch
+    whose folder is there is not run again, so the second query never meets a click twice.
+    The store has to move a folder in one step, as HDFS and local disks do.
+    """
+    spark = clicks.sparkSession
+    tables, files = chain_tables(spark, folder), Folder(spark, folder)
+    files.make("filtered")
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        if files.exists(f"filtered/epoch={epoch}"):
+            return
+        rows = rows.persist()
+        watermark = tables["latest"].read(epoch - 1).agg(F.max("ts") - F.expr(f"INTERVAL {delay}")).first()[0]
+        on_time, late = split_late(rows, watermark)
+        passed = filter_blacklist(on_time, tables["listed"].read(epoch - 1)).persist()
+        count_users(passed, tables["user_counts"], tables["listed"], epoch, threshold)
+        tables["late"].append(with_date(late), epoch)
+        tables["latest"].merge(rows.agg(F.max("ts").alias("ts")), epoch, lambda current, new: current.union(new).agg(F.max("ts").alias("ts")))
+        passed.select(*(c.split()[0] for c in CLICK.split(", "))).write.mode("overwrite").parquet(f"{folder}/staged/epoch={epoch}")
+        files.rename(f"staged/epoch={epoch}", f"filtered/epoch={epoch}")
+        passed.unpersist()
+        rows.unpersist()
+
+    return write_stream(clicks, batch, f"{folder}/checkpoint-filter", interval=interval)
+
+
+def filtered_clicks(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """The clicks that the first query let pass, as a stream."""
+    reader = spark.readStream.schema(f"{CLICK}, epoch int")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/filtered").drop("epoch")
+
+
+def filtered_stat_stream(spark: SparkSession, folder: str, watermark: str = "1 day", n: int = 3, files_per_batch: int | None = None) -> tuple[StreamingQuery, dict[str, EpochTable]]:
+    """Second query of the chain: running counts of the filtered clicks as state with a watermark, a day's
+    state going when it has passed, merged into ``stat``; and the tops of what changed.
+
+    The first query's watermark is never behind this one's, so no click is dropped here.
+    """
+    tables = {"stat": EpochTable(spark, f"{folder}/stat", AD_STAT), "tops": EpochTable(spark, f"{folder}/tops", PROVINCE_TOP)}
+    counts = ad_stat_stream(filtered_clicks(spark, folder, files_per_batch), watermark)
+    return province_top3_stream(counts, tables["stat"], tables["tops"], f"{folder}/checkpoint-stat", n), tables
+
+
+def late_counts(late: DataFrame) -> DataFrame:
+    """How many clicks of each day came too late."""
+    return late.groupBy("date").agg(F.count("*").alias("late_count"))
