@@ -88,8 +88,8 @@ def get_field(text: Column, name: str) -> Column:
 
 def set_field(text: Column, name: str, value: str) -> Column:
     """Sets the first field of that name; a text without it stays."""
-    new = value.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(text, rf"^((?:[^|]*\|)*?){re.escape(name)}(?:=[^|]*)?(\||$)", rf"$1{name}={new}$2")
+    new = f"{name}={value}".replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(text, rf"^((?:[^|]*\|)*?){re.escape(name)}(?:=[^|]*)?(\||$)", rf"$1{new}$2")
 
 
 def split_csv(text: Column) -> Column:

@@ -94,8 +94,8 @@ def weighted_skew_join(left: DataFrame, right: DataFrame, key: str, tasks: int |
     fewer than ``tasks`` (the shuffle's partitions by default), is broadcast.
     """
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = F.broadcast(heavy_keys(left, key, tasks).select(key, "salts"))
+    heavy = F.broadcast(heavy_keys(left, key, tasks).select(key, F.col("salts").alias("_salts")))
     spread = left.withColumn("_hash", _row_hash(left, row_id)).join(heavy, key, "left")
-    spread = spread.withColumn("_salt", F.pmod("_hash", F.coalesce("salts", F.lit(1))).cast("int")).drop("_hash", "salts")
-    copies = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    spread = spread.withColumn("_salt", F.pmod("_hash", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_hash", "_salts")
+    copies = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return spread.join(copies, [key, "_salt"]).drop("_salt")
