@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism, text_slices
-from .hashing import mix, prefix_sums, stretch_hashes
+from .hashing import mix, piece_hashes
 
 #: Words of a chunk, hashed words, latent dimensions and extra ones for the sketch.
 CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 64, 8
@@ -55,8 +55,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = _WORD[data]
     change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = change[::2], change[1::2]
-    hashes = mix(stretch_hashes(prefix_sums(data), starts, ends))
-    return hashes, np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts - 1, "right")
+    return piece_hashes(data, starts, ends), np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts - 1, "right")
 
 
 class Chunks:

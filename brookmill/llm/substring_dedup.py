@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism, text_slices, written
-from .hashing import mix, prefix_sums, stretch_hashes
+from .hashing import mix, prefix_sums, rolling_hashes, stretch_hashes
 
 TRIGGER_BYTES = 24
 #: Mean distance of triggers, at most this and a sixth of the string length: then few strings
@@ -79,8 +79,7 @@ class Parse:
         n = len(self.data)
         self.bytes = np.frombuffer(self.data, np.uint8)
         self.h = prefix_sums(self.bytes)
-        places = np.arange(max(n - TRIGGER_BYTES + 1, 0))
-        rolling = stretch_hashes(self.h, places, places + TRIGGER_BYTES) * np.uint64(0x9FB21C651E98DF25)
+        rolling = rolling_hashes(self.bytes, TRIGGER_BYTES) * np.uint64(0x9FB21C651E98DF25)
         triggers = np.flatnonzero(rolling < np.uint64((1 << 64) // max(min(PHRASE_BYTES, length // PHRASES), 1)))
         owner = np.searchsorted(self.borders, triggers, "right") - 1
         ends = self.borders[owner + 1]

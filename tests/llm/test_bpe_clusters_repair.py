@@ -11,10 +11,16 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pytest
+from test_llm import plain_removal
 from tokenizers import Tokenizer
 
-from brookmill.llm import bpe, clustering
+from brookmill.llm import bpe, clustering, hashing
 from brookmill.llm import conversation_repair as talk
+from brookmill.llm.jaccard_dedup import one_of_each
+from brookmill.llm.language_model import score_texts
+from brookmill.llm.packing import pack
+from brookmill.llm.substring_dedup import remove_repeats
+from brookmill.llm.token_files import token_file_index
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LETTERS = [
@@ -319,3 +325,64 @@ def test_tables_against_all_edits():
     got = talk.repair([(np.array(s, np.uint8), ["r"] * len(s), ["t"] * len(s)) for s in lots])
     for symbols, g in zip(lots, got):
         assert (g.cost, g.audit) == plain_audit(tuple(("suao"[s // 2], s % 2, False) if s < talk.MUST_GO else ("o", 0, True) for s in symbols))
+
+
+# --- hashes -----------------------------------------------------------------------------------
+
+
+def thue_morse(length):
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_field_hash_equals_plain_arithmetic():
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    prime = (1 << 61) - 1
+    starts = rng.integers(0, 2000, 50)
+    ends = starts + rng.integers(0, 900, 50)
+    got = hashing.stretch_hashes(hashing.prefix_sums(data), starts, ends)
+    plain = [sum(int(hashing._TABLE[x]) * pow(hashing._BASE, i, prime) for i, x in enumerate(data[a:b].tolist())) % prime for a, b in zip(starts, ends)]
+    assert got.tolist() == plain
+    a, b = rng.integers(0, prime, 500, np.uint64), rng.integers(0, prime, 500, np.uint64)
+    assert hashing.times(a, b).tolist() == [int(x) * int(y) % prime for x, y in zip(a, b)]
+
+
+@pytest.mark.parametrize("length", [64, 200, 400, 1024, 4096])
+def test_thue_morse_words_have_hashes_of_their_own(length):
+    pair = [w[:length].encode() for w in thue_morse(length)]
+    data = np.frombuffer(b"".join(pair), np.uint8)
+    starts, ends = np.array([0, length]), np.array([length, 2 * length])
+    assert len(set(hashing.piece_hashes(data, starts, ends).tolist())) == 2
+    assert len(set(hashing.stretch_hashes(hashing.prefix_sums(data), starts, ends).tolist())) == 2
+
+
+def test_piece_hashes_depend_on_the_bytes_alone():
+    rng = random.Random(9)
+    pieces = [bytes(rng.choice(b"ab\x00") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 16, 17, 255, 256, 257, 300]))) for _ in range(3000)]
+    seen = {}
+    for order in (pieces, pieces[::-1]):
+        data, ends = np.frombuffer(b"".join(order), np.uint8), np.cumsum([len(p) for p in order])
+        for piece, h in zip(order, hashing.piece_hashes(data, ends - [len(p) for p in order], ends).tolist()):
+            assert seen.setdefault(piece, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_operators_tell_thue_morse_words_apart(spark, library, length):
+    a, b = thue_morse(length)
+    zlib_of = lambda ids: zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+    docs = spark.createDataFrame([(1, a), (3, b)], "doc_id long, text string").repartition(1)
+    for name, query in (("word_bpe_49k.json", lambda p: pack(docs, p, 8192)), ("byte_bpe_50k.json", lambda p: token_file_index(docs, p))):
+        path = public_tokenizers.path(name)
+        plain = Tokenizer.from_file(path)
+        assert {r["doc_id"]: r["ids_crc32"] for r in query(path).collect()} == {i: zlib_of(plain.encode(t, add_special_tokens=False).ids) for i, t in ((1, a), (3, b))}
+    held, learned = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 7 == 2) == h) for h in (True, False))
+    scores = {r["doc_id"]: r["n_known"] for r in score_texts(spark.createDataFrame([(learned, a), (held, b)], "doc_id long, text string")).collect()}
+    assert scores == {learned: 2, held: 1}  # the end, but not the word
+    both = spark.createDataFrame([(1, a + " w x y z", "en", "s", 1), (2, b + " w x y z", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").repartition(1)
+    assert one_of_each(both).count() == 2
+    cut = remove_repeats(docs, length=400).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in cut} == {i: tuple(p[:2]) for i, p in zip((1, 3), plain_removal([a, b], 400))}
