@@ -1,14 +1,20 @@
 """Operator 8: language-model scores from a log-frequency Bloom filter.
 
-Training counts of single tokens and of pairs are quantised to levels, level q standing for
-counts of 2**(q-1) and more.  For a token or pair of level q the filter holds the q keys
+Training counts of single tokens and of pairs are quantised to levels, two for each doubling
+(1, 2, 3, 4, 6, 8, 12 ...).  For a token or pair of level q the filter holds the q keys
 (n-gram, 1) ... (n-gram, q); a count is read by probing levels upwards until one is missing,
 so a false answer can only raise a count, and rarely by more than one level.  The filter has
 ``BITS_PER_KEY`` bits for every key that it holds, bucket by bucket, so that the share of
 false answers is the same for any corpus.  Up to ``BROADCAST_BITS`` it is broadcast; a larger
 one stays in its buckets, and the keys of each slice of texts are probed there, with the same
-answers.  A pair's probability mixes its own share of the history's count with the token's
-smoothed share of the corpus.
+answers.
+
+A token's probability is PAIR_WEIGHT of its pair's share of the history's count and the rest of
+the token's smoothed share of the corpus; after a history that was never seen it is the smoothed
+share alone.  Counts of pairs and of predicted tokens are read as the least of their level, the history's
+as the greatest of its level, and exactly for frequent words.  So the probabilities of all known tokens
+and one unknown token sum to no more than one, save for false answers, to one where counts are below five
+or exact, and to 1 - PAIR_WEIGHT / 2 at the least.
 
 N-grams travel as 64-bit hashes in sorted arrays, one for each bucket and task, not as rows.
 Exact token counts for the base score need no broadcast of the vocabulary: a bounded set of
@@ -29,9 +35,12 @@ from pyspark.sql import functions as F
 from .common import fold_of, parallelism, text_slices, written
 from .hashing import mix, pair_hash, words_of
 
-#: Bits of the filter for each key, hash functions of a key, highest level of a count: about
-#: 2 % of keys that are not held read as held.
-BITS_PER_KEY, PROBES, TOP_LEVEL = 10, 3, 40
+#: Bits of the filter for each key, and hash functions of a key: about 2 % of keys that are not
+#: held read as held.
+BITS_PER_KEY, PROBES = 10, 3
+#: The least count of each level from 1; the greatest is one below the next.
+LEAST = np.array([1, *sorted([1 << i for i in range(1, 40)] + [3 << i for i in range(39)])], np.int64)
+TOP_LEVEL = len(LEAST)
 #: Bits of the largest filter that is broadcast.
 BROADCAST_BITS = 1 << 30
 #: Frequent words that are broadcast with their exact counts.
@@ -120,7 +129,7 @@ class FrequencyFilter:
     @classmethod
     def part(cls, keys: np.ndarray, counts: np.ndarray, bits_per_key: int = BITS_PER_KEY) -> np.ndarray:
         """The bits of one bucket, sized for what it holds."""
-        levels = np.minimum(np.floor(np.log2(counts)).astype(int) + 1, TOP_LEVEL)
+        levels = np.searchsorted(LEAST, counts, "right")
         share = max(-(-int(levels.sum()) * bits_per_key // 8), 1) * 8
         on = np.zeros(share, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
@@ -144,19 +153,28 @@ class FrequencyFilter:
         return out
 
 
-#: The count that a level stands for.
-ESTIMATE = np.concatenate([[0.0, 1.0], 1.4 * 2.0 ** np.arange(1, TOP_LEVEL)])
+#: The least and the greatest count of a level, 0 standing for counts of none.
+AT_LEAST = np.concatenate([[0.0], LEAST])
+AT_MOST = np.concatenate([[0.0], LEAST[1:] - 1.0, [2.0 * LEAST[-1]]])
+
 
+def _log_probabilities(tokens: np.ndarray, history: np.ndarray, level_of, n: int, v: int, exact: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of each token's probability after its history; ``level_of`` takes different keys in order.
 
-def _log_probabilities(tokens: np.ndarray, history: np.ndarray, level_of, n: int, v: int) -> np.ndarray:
-    """log10 of each token's probability after its history; ``level_of`` takes different keys in order."""
-    unique, back = np.unique(tokens, return_inverse=True)
-    single = ESTIMATE[level_of(unique)]
-    c1 = single[back]
-    c0 = np.concatenate([[single[np.searchsorted(unique, END)]], c1[:-1]]) if len(tokens) else c1
+    ``exact`` has the ascending keys of frequent words, and their counts.
+    """
+    unique, back = np.unique(np.concatenate([tokens, history]), return_inverse=True)
+    levels = level_of(unique)
+    least, most = AT_LEAST[levels], AT_MOST[levels]
+    if len(exact[0]):
+        at = np.minimum(np.searchsorted(exact[0], unique), len(exact[0]) - 1)
+        known = exact[0][at] == unique
+        least[known] = most[known] = exact[1][at[known]]
+    c1, c0 = least[back[: len(tokens)]], most[back[len(tokens) :]]
     pairs, back = np.unique(pair_hash(history, tokens), return_inverse=True)
-    c2 = np.minimum(ESTIMATE[level_of(pairs)][back], c0)
-    p = PAIR_WEIGHT * c2 / np.maximum(c0, 1) + (1 - PAIR_WEIGHT) * (np.minimum(c1, n) + 1) / (n + v + 1)
+    c2 = np.minimum(AT_LEAST[level_of(pairs)][back], c0)
+    share = (np.minimum(c1, n) + 1) / (n + v + 1)
+    p = np.where(c0 > 0, PAIR_WEIGHT * c2 / np.maximum(c0, 1) + (1 - PAIR_WEIGHT) * share, share)
     return np.log10(np.minimum(p, 1.0))
 
 
@@ -256,7 +274,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
                 probes = np.unique(np.concatenate([tokens, pair_hash(history, tokens)]))
                 out = [{"batch": batch_id, "bucket": b, "probes": probes[part].tobytes()} for b, part in _by_bucket(probes, buckets)]
             else:
-                scores = np.bincount(owner, _log_probabilities(tokens, history, lambda keys: filter_.levels(keys, _bucket_of(keys, buckets)), n, v), m)
+                scores = np.bincount(owner, _log_probabilities(tokens, history, lambda keys: filter_.levels(keys, _bucket_of(keys, buckets)), n, v, (keys_of_head, counts_of_head)), m)
             unique, back = np.unique(tokens, return_inverse=True)
             at = np.minimum(np.searchsorted(keys_of_head, unique), max(len(keys_of_head) - 1, 0))
             in_head = (keys_of_head[at] == unique) if len(keys_of_head) else np.zeros(len(unique), bool)
@@ -323,7 +341,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
             if tokens is not None:
                 history = np.concatenate([[END], tokens[:-1]])
                 probed, held = np.unique(np.concatenate([tokens, pair_hash(history, tokens)])), np.frombuffer(b"".join(levels), np.int8)
-                logs = _log_probabilities(tokens, history, lambda keys: held[np.searchsorted(probed, keys)], n, v)
+                logs = _log_probabilities(tokens, history, lambda keys: held[np.searchsorted(probed, keys)], n, v, model.value[1:])
                 scores = np.bincount(np.repeat(np.arange(len(current)), columns["n_tokens"]), logs, len(current))
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns["doc_id"], pa.int64()), pa.array(columns["held_out"], pa.bool_()), pa.array(columns["n_tokens"], pa.int64()), pa.array(known), pa.array([n] * len(current), pa.int64()), pa.array(base), pa.array(scores, pa.float64())],

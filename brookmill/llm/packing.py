@@ -5,8 +5,9 @@ Over that histogram the driver solves the configuration LP: a configuration is a
 of lengths that fits one sequence, and the LP asks for amounts of configurations that cover
 the histogram with the fewest sequences.  Multiplicative weights keep a price for each
 length, a knapsack dynamic program finds the most valuable configurations at those prices,
-and the prices of what has been covered fall.  The amounts are rounded down, and the pieces
-left over go best fit, longest first, still as counts.  The plan is a list of
+and the prices of what has been covered fall.  Rounding sums the
+amounts up over all configurations, so that many small ones count together; what it leaves is
+solved and rounded again, and the last few pieces go best fit, longest first, still as counts.  The plan is a list of
 configurations and how often each is used; its size depends on the number of distinct
 lengths, not on the corpus.  Spark then ranks the pieces of each length and reads every
 piece's place off the plan.
@@ -30,6 +31,8 @@ Configuration = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 #: Rounds of price updates, and configurations taken in each round.
 ROUNDS, TAKEN = 60, 256
+#: Rounds for what rounding has left; share of all ids in the short pieces that are kept back.
+LATER_ROUNDS, FILLERS = 20, 0.002
 #: Share of the scarcest length's demand that one step covers; strength of a price update.
 STEP, RATE = 0.1, 0.5
 
@@ -117,27 +120,63 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Configurati
     return [group for room in sorted(open_by_room) for group in open_by_room[room]]
 
 
-def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[Configuration, int]]:
-    """Configurations and how often each is used; they hold the histogram exactly.
+def rounded(amounts: dict[Configuration, float], left: dict[int, int]) -> list[tuple[Configuration, int]]:
+    """Whole uses of configurations; ``left`` loses their pieces.
 
-    The rounded program is taken unless best fit over the whole histogram needs fewer
-    sequences, which can only be so by the few that rounding leaves.
+    Configurations that leave more room than the program's do on average are not used, so a use is
+    never worse than the program.  Down an order of the others the amounts are summed up, and
+    one is used as often as the sum passes a whole number there: amounts below one count
+    together instead of all being lost.  One that asks for more than is left is used as often as it can be.
     """
-    left = {k: v for k, v in histogram.items() if v}
-    if not left:
-        return []
-    plan = []
-    amounts = configuration_lp(left, capacity)
-    waste = {c: capacity - sum(length * n for length, n in c) for c in amounts}
-    for config in sorted(amounts, key=lambda c: (waste[c], -amounts[c], c)):
-        times = min(int(amounts[config]), *(left[length] // n for length, n in config))
+    filled = {c: sum(length * n for length, n in c) for c in amounts}
+    mean = sum(filled[c] * x for c, x in amounts.items()) / sum(amounts.values())
+    mean = min(mean, max(filled.values()))
+    uses, passed = [], 0.0
+    for config in sorted((c for c in amounts if filled[c] >= mean), reverse=True):
+        wanted = int(passed + amounts[config]) - int(passed)
+        passed += amounts[config]
+        times = min(wanted, *(left[length] // n for length, n in config)) if wanted else 0
         if times:
-            plan.append((config, times))
+            uses.append((config, times))
             for length, n in config:
                 left[length] -= times * n
-    plan += best_fit({k: v for k, v in left.items() if v}, capacity)
-    plain = best_fit({k: v for k, v in histogram.items() if v}, capacity)
-    return min(plan, plain, key=lambda p: sum(n for _, n in p))
+    return uses
+
+
+def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[Configuration, int]]:
+    """Configurations and how often each is used; they hold the histogram exactly."""
+    return plan_with_share(histogram, capacity)[0]
+
+
+def plan_with_share(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Configuration, int]], int]:
+    """The plan, and how many of its first entries come from the program.
+
+    The program is solved and rounded, then solved and rounded for what is left, and so on.
+    The shortest pieces, FILLERS of all ids, are kept back for the end, when what is left goes best fit.
+    The last pieces of all may fit together badly, so of all times to stop the one that needs
+    fewest sequences is taken, the latest of equals.
+    """
+    left = {k: v for k, v in histogram.items() if v}
+    room, fillers = int(FILLERS * sum(k * v for k, v in left.items())), {}
+    for length in sorted(left):
+        if not (kept := min(left[length], room // length)):
+            break
+        fillers[length], room = kept, room - kept * length
+    left = {k: v - fillers.get(k, 0) for k, v in left.items() if v > fillers.get(k, 0)}
+    uses: list[tuple[Configuration, int]] = []
+    best: tuple[int, int, list] | None = None
+    rounds = max(ROUNDS, 5000 // max(len(left), 1))  # few lengths need more of them, and take less time
+    while True:
+        new = rounded(configuration_lp(left, capacity, rounds), left) if left else []
+        uses += new
+        rest = best_fit(dict(Counter(left) + Counter(fillers)), capacity)
+        needed = sum(n for _, n in uses) + sum(n for _, n in rest)
+        if best is None or needed <= best[0]:
+            best = (needed, len(uses), rest)
+        if not new:
+            return uses[: best[1]] + best[2], best[1]
+        left = {k: v for k, v in left.items() if v}
+        rounds = max(LATER_ROUNDS, 2000 // max(len(left), 1))
 
 
 def _places(plan: list[tuple[Configuration, int]]) -> dict[int, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from brookmill.llm import decontamination, embedding_dedup, jaccard_dedup, language_id, language_model, packing, quality, simhash, substring_dedup, token_files, tokens, url_filter
+from brookmill.llm import decontamination, embedding_dedup, hashing, jaccard_dedup, language_id, language_model, packing, quality, simhash, substring_dedup, token_files, tokens, url_filter
 from brookmill.llm.components import connected_components
 from brookmill.llm.oracles import ORACLES
 from brookmill.llm.queries import URL_RULES
@@ -450,21 +450,25 @@ def test_many_slices_agree_with_one(spark, monkeypatch):
 # --- 8 ----------------------------------------------------------------------------------
 
 
-def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "HEAD_WORDS", 20)
+@pytest.mark.parametrize("head_words", [0, 1 << 16])
+def test_language_model(spark, monkeypatch, head_words):
+    monkeypatch.setattr(language_model, "HEAD_WORDS", head_words)
     texts = AWKWARD + [" ".join(small_words(i, 100, 60)) for i in range(60)]
     lists = [[*words(t), None] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     c = collections.Counter(w for t, h in zip(lists, held) if not h for w in t)
     pairs = collections.Counter(p for t, h in zip(lists, held) if not h for p in zip([None, *t], t))
     n, v = sum(c.values()), len(c)
-    about = lambda count: 0 if count == 0 else 1 if count == 1 else 1.4 * 2 ** (count.bit_length() - 1)
+    steps = sorted({1, *(2**i for i in range(1, 30)), *(3 * 2**i for i in range(30))})
+    least = lambda count: max((s for s in steps if s <= count), default=0)
+    most = lambda count: min(s for s in steps if s > count) - 1 if count else 0
 
     def score(tokens):
         total = 0
         for h, w in zip([None, *tokens], tokens):
-            c0 = about(c[h])
-            total += math.log10(min(0.6 * min(about(pairs[h, w]), c0) / max(c0, 1) + 0.4 * (min(about(c[w]), n) + 1) / (n + v + 1), 1))
+            c0, c1 = (c[h], c[w]) if head_words else (most(c[h]), least(c[w]))
+            share = (c1 + 1) / (n + v + 1)
+            total += math.log10(0.6 * least(pairs[h, w]) / c0 + 0.4 * share if c0 else share)
         return total
 
     for most_bits in (1 << 40, 0):  # broadcast, and probed where the filter lies
@@ -483,12 +487,35 @@ def test_filter_answers_alike_at_every_load(size):
     r = np.random.default_rng(size)
     keys, counts = r.integers(0, 1 << 64, size, np.uint64), r.integers(1, 100, size)
     filter_ = language_model.FrequencyFilter([language_model.FrequencyFilter.part(keys, counts)])
-    got, want = filter_.levels(keys, np.zeros(size, int)), np.floor(np.log2(counts)).astype(int) + 1
+    got, want = filter_.levels(keys, np.zeros(size, int)), np.searchsorted(language_model.LEAST, counts, "right")
     assert (got >= want).all() and 0.975 < (got == want).mean()
     unseen = filter_.levels(r.integers(0, 1 << 64, 50_000, np.uint64), np.zeros(50_000, int))
     assert 0.01 < (unseen > 0).mean() < 0.025
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_probabilities_sum_to_one(exact):
+    """Over all known tokens and an unknown one: after histories with few and many, rare and frequent followers, and unseen ones."""
+    r = np.random.default_rng(1)
+    vocabulary = np.concatenate([[language_model.END], r.integers(1, 1 << 63, 400, np.uint64)])
+    texts = [r.choice(vocabulary[1:], r.integers(1, 60), p=np.arange(400, 0, -1) / 80_200) for _ in range(300)]
+    twice = [np.array([vocabulary[1], w]) for w in vocabulary[2:102] for _ in range(2)]  # a hundred followers, each seen twice
+    flow = np.concatenate([np.append(t, language_model.END) for t in texts + twice])
+    history = np.concatenate([[language_model.END], flow[:-1]])
+    keys, counts = np.unique(np.concatenate([flow, hashing.pair_hash(history, flow)]), return_counts=True)
+    filter_ = language_model.FrequencyFilter([language_model.FrequencyFilter.part(keys, counts, 4000)])
+    words, times = np.unique(flow, return_counts=True)
+    n, v = len(flow), len(words)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    every = np.append(words, np.uint64(12345))
+    for h, total in [*zip(words.tolist(), times.tolist()), (999, 0)]:
+        p = 10 ** language_model._log_probabilities(every, np.full(len(every), h, np.uint64), lambda k: filter_.levels(k, np.zeros(len(k), int)), n, v, (words, times) if exact else none)
+        assert 0.69 <= p.sum() <= 1.000001
+        if exact:
+            follow = np.unique(flow[history == np.uint64(h)], return_counts=True)[1]
+            assert math.isclose(p.sum(), 1, abs_tol=1e-9) or not set(follow.tolist()) <= {1, 2, 3, 4, 6, 8}
+
+
 # --- 9, 10 ------------------------------------------------------------------------------
 
 
@@ -570,4 +597,15 @@ def test_plans_hold_the_histogram(seed):
         for length, n in config:
             held[length] += n * times
     assert held == histogram
-    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram, capacity))
+    assert sum(n for _, n in plan) <= 1.005 * sum(n for _, n in packing.best_fit(histogram, capacity)) + 1
+
+
+def test_program_places_most_pieces():
+    """Of pieces that don't fill a sequence most come from the program, at the bound of the ids or close by."""
+    r = random.Random(7)
+    for histogram, gap in (({r.randrange(1, 1200): r.randrange(1, 30) for _ in range(900)}, 1.001), ({r.randrange(300, 1200): r.randrange(1, 40) for _ in range(400)}, 1.02), ({700: 3000, 640: 2000, 690: 999}, 1.01)):
+        plan, n_program = packing.plan_with_share(histogram, 2048)
+        pieces = lambda part: sum(n * times for config, times in part for _, n in config)
+        assert pieces(plan) == sum(histogram.values()) and pieces(plan[:n_program]) > 0.6 * pieces(plan)
+        bound = sum(k * v for k, v in histogram.items()) / 2048 if 700 not in histogram or len(histogram) > 3 else sum(histogram.values()) / 3
+        assert sum(times for _, times in plan) <= gap * bound + 1
