@@ -3,8 +3,10 @@
 Each round rewires edges towards the smallest neighbour, first from every node to its
 larger neighbours, then to its smaller ones, until all edges are stars around the smallest
 node of their component.  The number of rounds grows with the logarithm of the size.
-Minima are pre-aggregated before they are shuffled, a node with very many edges is split by
-Spark's skew join, and each round is written to the shared folder, so that a lost executor
+Minima are pre-aggregated before they are shuffled.  The edges of one node meet its minimum in
+one task of a join, as a sorted stream of two ids each, which Spark's skew join does not cut (the
+minimum is aggregated after its exchange); so the edges of the largest component's centre are one
+task's work, though not in memory.  Each round is written to the shared folder, so that a lost executor
 costs one round at most.  Only two numbers a round reach the driver.
 """
 
