@@ -37,7 +37,7 @@ def ad_click_trend_stream(clicks: DataFrame, watermark: str = "60 minutes") -> D
     return trend_columns(clicks.withWatermark("ts", watermark).groupBy(F.window("ts", "1 minute"), "ad_id").agg(F.count("*").alias("click_count")))
 
 
-def keep_latest(updates: DataFrame, table: EpochTable, keys: list[str], checkpoint: str) -> StreamingQuery:
+def keep_latest(updates: DataFrame, table: EpochTable, keys: list[str], checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Merges a stream of updated rows into a table."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
@@ -45,7 +45,7 @@ def keep_latest(updates: DataFrame, table: EpochTable, keys: list[str], checkpoi
         table.merge(rows, epoch, lambda current, new: upsert_overwrite(current, new, keys))
         rows.unpersist()
 
-    return write_stream(updates, batch, checkpoint, "update")
+    return write_stream(updates, batch, checkpoint, "update", interval)
 
 
 def update_blacklist(batch: DataFrame, counts: DataFrame, blacklist: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +84,7 @@ def blacklist_stream(clicks: DataFrame, counts: EpochTable, blacklist: EpochTabl
     return write_stream(clicks, batch, checkpoint)
 
 
-def province_top3_stream(updates: DataFrame, stat: EpochTable, tops: EpochTable, checkpoint: str, n: int = 3) -> StreamingQuery:
+def province_top3_stream(updates: DataFrame, stat: EpochTable, tops: EpochTable, checkpoint: str, n: int = 3, interval: str | None = None) -> StreamingQuery:
     """Merges updated counts and refreshes the tops of the dates and provinces that they touch."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
@@ -93,7 +93,7 @@ def province_top3_stream(updates: DataFrame, stat: EpochTable, tops: EpochTable,
         refresh_tops(rows, names, stat, tops, epoch, n)
         rows.unpersist()
 
-    return write_stream(updates, batch, checkpoint, "update")
+    return write_stream(updates, batch, checkpoint, "update", interval)
 
 
 def job_tables(spark: SparkSession, folder: str) -> dict[str, EpochTable]:
@@ -184,7 +184,7 @@ def filtered_clicks(spark: SparkSession, folder: str, files_per_batch: int | Non
     return reader.parquet(f"{folder}/filtered").drop("epoch")
 
 
-def filtered_stat_stream(spark: SparkSession, folder: str, watermark: str = "1 day", n: int = 3, files_per_batch: int | None = None) -> tuple[StreamingQuery, dict[str, EpochTable]]:
+def filtered_stat_stream(spark: SparkSession, folder: str, watermark: str = "1 day", n: int = 3, files_per_batch: int | None = None, interval: str | None = None) -> tuple[StreamingQuery, dict[str, EpochTable]]:
     """Second query of the chain: running counts of the filtered clicks as state with a watermark, a day's
     state going when it has passed, merged into ``stat``; and the tops of what changed.
 
@@ -192,7 +192,21 @@ def filtered_stat_stream(spark: SparkSession, folder: str, watermark: str = "1 d
     """
     tables = {"stat": EpochTable(spark, f"{folder}/stat", AD_STAT), "tops": EpochTable(spark, f"{folder}/tops", PROVINCE_TOP)}
     counts = ad_stat_stream(filtered_clicks(spark, folder, files_per_batch), watermark)
-    return province_top3_stream(counts, tables["stat"], tables["tops"], f"{folder}/checkpoint-stat", n), tables
+    return province_top3_stream(counts, tables["stat"], tables["tops"], f"{folder}/checkpoint-stat", n, interval), tables
+
+
+def start_realtime_job(clicks: DataFrame, folder: str, threshold: int = 100, n: int = 3, interval: str = "5 seconds") -> tuple[list[StreamingQuery], dict[str, EpochTable]]:
+    """Everything that the real-time job keeps, as three queries that run until they are stopped: the
+    filter, the state of what it lets pass, and the minute trend of all clicks.
+
+    All tables by name: user_counts, listed, late, latest, stat, tops, trend.
+    """
+    spark = clicks.sparkSession
+    trend = EpochTable(spark, f"{folder}/trend", AD_TREND)
+    first = filtered_clicks_stream(clicks, folder, threshold, interval=interval)
+    second, tables = filtered_stat_stream(spark, folder, n=n, interval=interval)
+    third = keep_latest(ad_click_trend_stream(clicks), trend, ["date", "hour", "minute", "ad_id"], f"{folder}/checkpoint-trend", interval)
+    return [first, second, third], chain_tables(spark, folder) | tables | {"trend": trend}
 
 
 def late_counts(late: DataFrame) -> DataFrame:

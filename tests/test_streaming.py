@@ -222,3 +222,23 @@ def test_late_split(spark):
     on_time, late = ads.split_late(rows, mark)
     assert on_time.count() == 1 and late.count() == 2
     assert ads.split_late(rows, None)[0].count() == 2
+
+
+def test_whole_job_until_it_is_stopped(spark, tmp_path):
+    """Three queries at once over batches that arrive while they run."""
+    put(tmp_path, 0, [day_line(1, user=7)] * 3)
+    clicks = read_ad_stream_files(spark, f"file://{tmp_path}/in", 1)
+    running, tables = ads.start_realtime_job(clicks, f"file://{tmp_path}/job", threshold=3, interval="1 second")
+    try:
+        running[0].processAllAvailable()
+        put(tmp_path, 1, [day_line(1, user=7, clock="10:01:00"), day_line(1, user=8, clock="10:01:00")])
+        for query in running:
+            query.processAllAvailable()
+        running[1].processAllAvailable()
+    finally:
+        for query in running:
+            query.stop()
+    assert content(tables["stat"].read()) == [("2024-01-01", 1, 4)] == content(tables["tops"].read())
+    trend = {f"{r['hour']}:{r['minute']}": r["click_count"] for r in tables["trend"].read().collect()}
+    assert trend == {"10:00": 3, "10:01": 2}  # of all clicks, those of the listed user too
+    assert [r[0] for r in tables["listed"].read().collect()] == [7]
