@@ -165,7 +165,7 @@ def plan_with_share(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     left = {k: v - fillers.get(k, 0) for k, v in left.items() if v > fillers.get(k, 0)}
     uses: list[tuple[Configuration, int]] = []
     best: tuple[int, int, list] | None = None
-    rounds = max(ROUNDS, 5000 // max(len(left), 1))  # few lengths need more of them, and take less time
+    rounds = max(ROUNDS, min(200, 100_000 // capacity))  # short sequences need more of them, and take less time
     while True:
         new = rounded(configuration_lp(left, capacity, rounds), left) if left else []
         uses += new
@@ -176,7 +176,7 @@ def plan_with_share(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
         if not new:
             return uses[: best[1]] + best[2], best[1]
         left = {k: v for k, v in left.items() if v}
-        rounds = max(LATER_ROUNDS, 2000 // max(len(left), 1))
+        rounds = max(LATER_ROUNDS, min(80, 40_000 // capacity))
 
 
 def _places(plan: list[tuple[Configuration, int]]) -> dict[int, np.ndarray]:
