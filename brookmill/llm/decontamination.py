@@ -4,12 +4,19 @@ Texts are cut into chunks of ``CHUNK`` words, rows of a TF-IDF matrix over hashe
 randomised SVD of that matrix is taken in one distributed pass: every task multiplies its
 rows by a Gaussian matrix and back, the products are added up, and a Nystroem step on the
 small result gives right singular vectors and singular values.  In the latent space, scaled
-by the singular values, passages of each item's length are compared with the item by cosine;
-words that all texts share carry no weight there.  No leak depends on that cosine: a passage
-that holds enough of an item's words holds one of its rarest, whatever stands around it, so
-passages with such a word are candidates too.  A candidate is verified where it was found: first its word signature must not lack too many of the item's bits, which no leak
-does; then the longest common subsequence of words with the item must cover most of the
-item, or somewhat less of it together with all words of the item's answer, its last words.
+by the singular values, passages of each item's length are compared with the item by two cosines:
+in all RANK dimensions, where words in common decide, and in the leading TOPICS ones, where words
+of like company lie together, so that a passage in other words is found as well.  Words that all
+texts share carry no weight.  A candidate is verified where it was found: first its word signature must not lack too many of the item's bits, which no leak
+does; then the longest common subsequence of words with the item is taken.  A text leaks an item if a passage
+
+* holds ALONE of the item's words in order, or WITH_ANSWER of them and all words of its answer, its last
+  words.  No such leak depends on the cosine: a passage that holds so many of an item's words holds one of its
+  rarest, whatever stands around it, so passages with such a word are candidates too; or
+* is a paraphrase: one of its cosines with the item is LEAST_COSINE or TOPIC_COSINE or more, it holds PARAPHRASE
+  of the item's words in order and all words of its answer.  These come from the latent search alone, for items of PARAPHRASED
+  words and more.
+
 An item of a few words only is found where all its words follow one another.
 
 Document frequencies and the SVD cover all texts.  Items are broadcast in blocks of bounded
@@ -29,10 +36,12 @@ from .common import parallelism, text_slices
 from .hashing import mix, piece_hashes
 
 #: Words of a chunk, hashed words, latent dimensions and extra ones for the sketch.
-CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 64, 8
+CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 256, 8
 DIMS = 1 << DIM_BITS
-#: Least cosine of a candidate that holds none of the item's rarest words.
-LEAST_COSINE = 0.28
+#: Leading dimensions that stand for topics; a paraphrase has one of these cosines with its item at the least.
+TOPICS, LEAST_COSINE, TOPIC_COSINE = 64, 0.2, 0.55
+#: Share of the item's words that it holds in order, with the answer; words of the shortest items looked for in other words.
+PARAPHRASE, PARAPHRASED = 0.45, 16
 #: Share of an item's words in common order that proves a leak, alone or with the answer.
 ALONE, WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 5
 #: Items of fewer words are looked for as they are; items broadcast at a time, and compared at a time.
@@ -100,6 +109,10 @@ def _with_zero(table: np.ndarray) -> np.ndarray:
     return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]
+
+
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """log(chunks / chunks with the place), from all texts."""
 
@@ -121,7 +134,12 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (DIMS x rank) and singular values of the TF-IDF matrix of all chunks."""
+    """Right singular vectors (DIMS x rank) and singular values of the TF-IDF matrix of all chunks.
+
+    A task sends one sketch of DIMS x (rank + EXTRA) numbers, so the texts are read by two tasks a
+    core (by Spark's default parallelism; set it where executors come and go): what is shuffled
+    follows the cluster and not the texts.
+    """
     width = rank + EXTRA
     gauss = np.random.default_rng(2024).standard_normal((DIMS, width))
     forward, weights = _with_zero(idf[:, None] * gauss), idf.astype(np.float32)
@@ -139,16 +157,16 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[
                 total[places[first]] += np.add.reduceat(product[chunks.chunk_of[part]], first, axis=0)
         total *= weights[:, None]
         blocks = DIMS // _ROWS
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks), pa.int32()), pa.array([total[b * _ROWS : (b + 1) * _ROWS].tobytes() for b in range(blocks)], pa.binary())], names=["block", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks), pa.int32()), pa.array([total[b * _ROWS : (b + 1) * _ROWS].astype(np.float32).tobytes() for b in range(blocks)], pa.binary())], names=["block", "data"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[block] = sums.get(block, 0) + np.frombuffer(data)
+                sums[block] = sums.get(block, 0) + np.frombuffer(data, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "data"])
 
-    sketched = docs.select("text").mapInArrow(sketch, "block int, data binary")
+    sketched = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(sketch, "block int, data binary")
     added = sketched.repartition(min(parallelism(docs.sparkSession), DIMS // _ROWS), "block").mapInArrow(add_up, "block int, data binary")
     z = np.zeros((DIMS, width))
     for block, data in added.collect():  # DIMS x width numbers in all
@@ -157,7 +175,7 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[
     shift = 1e-9 * max(np.linalg.norm(z), 1.0)
     core = gauss.T @ (z + shift * gauss)
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    keep = values > values.max(initial=0) * 1e-12
+    keep = values > values.max(initial=0) * 1e-7  # sums of single precision
     half = (z + shift * gauss) @ (vectors[:, keep] / np.sqrt(values[keep]))
     u, s, _ = np.linalg.svd(half, full_matrices=False)
     return u[:, :rank], s[:rank]
@@ -176,11 +194,11 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.bool_())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.bool_()), ("topic_cosine", pa.float64())])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, common, answer: one row for each text and benchmark item it holds.
+    """doc_id, item_id, cosine, common, answer, topic_cosine: one row for each text and benchmark item it holds.
 
     ``common`` is the greatest share of the item's words that a passage of the text holds in
     order, ``answer`` whether the best passage holds all of the item's last words.  Items and
@@ -196,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found, block = None, []
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        return narrow.mapInArrow(_searcher(block, latent, idf, docs.sparkSession), "doc_id long, item_id long, cosine double, common double, answer boolean")
+        return narrow.mapInArrow(_searcher(block, latent, idf, docs.sparkSession), "doc_id long, item_id long, cosine double, common double, answer boolean, topic_cosine double")
 
     rows = items.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").toLocalIterator()
     for row in rows:
@@ -250,7 +268,8 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray,
     borders = np.searchsorted(owner, np.arange(len(block) + 1))
     x = np.zeros((len(block), latent.shape[1]), np.float32)
     np.add.at(x, owner, latent[(hashes >> np.uint64(64 - DIM_BITS)).astype(np.int64)])
-    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    topics = _unit(x[:, :TOPICS])
+    x = _unit(x)
     by_size: dict[int, list[int]] = {}
     for i, n in enumerate(np.diff(borders).tolist()):
         if n:
@@ -262,10 +281,14 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray,
     # a common subsequence of that share leaves out at most so many words, and so bits
     sizes = np.diff(borders)
     may_lack = np.where(sizes < LEAST_WORDS, 0, np.floor((1 - min(ALONE, WITH_ANSWER)) * sizes + 1e-9))
-    shared = spark.sparkContext.broadcast(([i for i, _ in block], item_words, x, by_size, latent, signatures, may_lack, Seeds(item_words, idf)))
+    reworded_lack = np.where(sizes < PARAPHRASED, -1, np.floor((1 - PARAPHRASE) * sizes + 1e-9))
+    ends = np.zeros_like(signatures)
+    last = np.arange(len(hashes)) >= borders[owner + 1] - ANSWER_WORDS
+    np.bitwise_or.at(ends, (owner[last], word[last]), bit[last])
+    shared = spark.sparkContext.broadcast(([i for i, _ in block], item_words, x, topics, by_size, latent, signatures, ends, may_lack, reworded_lack, Seeds(item_words, idf)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_words, x, by_size, table, signatures, may_lack, seeds = shared.value
+        ids, item_words, x, topics, by_size, table, signatures, ends, may_lack, reworded_lack, seeds = shared.value
         for batch in text_slices(batches, "text", _SLICE):
             chunks = Chunks(batch.column(1).to_pylist())
             rows = chunks.times(table)
@@ -284,10 +307,10 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray,
                         passage[:-size][inside] += rows[size:][inside]
                         bits[:-size][inside] |= chunk_bits[size:][inside]
                     size += 1
-                norm = np.maximum(np.linalg.norm(passage, axis=1), 1e-12)
+                whole, leading = _unit(passage), _unit(passage[:, :TOPICS])
                 for begin in range(0, len(by_size[wanted]), ITEMS_AT_ONCE):
                     own = by_size[wanted][begin : begin + ITEMS_AT_ONCE]
-                    cosines = (passage @ x[own].T) / norm[:, None]
+                    cosines, topic_cosines = whole @ x[own].T, leading @ topics[own].T
                     place_of[:] = -1
                     place_of[own] = np.arange(len(own))
                     mine = place_of[seed_item] >= 0
@@ -295,11 +318,14 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray,
                     back = np.arange(wanted)[:, None]  # passages that reach the chunk
                     starts, which = held // len(own) - back, np.broadcast_to(held % len(own), (wanted, len(held)))
                     inside = starts >= first_chunk[held // len(own)]
-                    close = np.flatnonzero((cosines >= LEAST_COSINE).ravel())
+                    alike = (cosines >= LEAST_COSINE) | (topic_cosines >= TOPIC_COSINE)
+                    close = np.flatnonzero(alike.ravel())
                     near, which = np.divmod(np.union1d(starts[inside] * len(own) + which[inside], close), len(own))
                     items = np.array(own)[which]
                     lacking = np.bitwise_count(signatures[items] & ~bits[near]).sum(axis=1)
                     use = lacking <= may_lack[items]
+                    other = np.flatnonzero(~use & (lacking <= reworded_lack[items]) & alike[near, which])
+                    use[other] = ~(ends[items[other]] & ~bits[near[other]]).any(axis=1)
                     for at, k in zip(near[use].tolist(), which[use].tolist()):
                         text, item = int(chunks.owner[at]), own[k]
                         a = chunks.starts[at]
@@ -310,11 +336,12 @@ def _searcher(block: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray,
                         else:
                             share = common_subsequence(needed, passage_words) / len(needed)
                         answer = set(needed[-ANSWER_WORDS:]) <= set(passage_words)
-                        if share >= ALONE or (share >= WITH_ANSWER and answer):
-                            new = (share, answer, float(cosines[at, k]))
+                        reworded = share >= PARAPHRASE and len(needed) >= PARAPHRASED and alike[at, k]
+                        if share >= ALONE or (answer and (share >= WITH_ANSWER or reworded)):
+                            new = (share, answer, float(cosines[at, k]), float(topic_cosines[at, k]))
                             best[text, item] = max(best.get((text, item), new), new)
             doc_ids = batch.column(0).to_pylist()
-            out = [{"doc_id": doc_ids[t], "item_id": ids[i], "cosine": c, "common": s, "answer": a} for (t, i), (s, a, c) in sorted(best.items())]
+            out = [{"doc_id": doc_ids[t], "item_id": ids[i], "cosine": c, "common": s, "answer": a, "topic_cosine": tc} for (t, i), (s, a, c, tc) in sorted(best.items())]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
 
