@@ -36,7 +36,7 @@ from .common import parallelism, text_slices
 from .hashing import mix, piece_hashes
 
 #: Words of a chunk, hashed words, latent dimensions and extra ones for the sketch.
-CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 256, 8
+CHUNK, DIM_BITS, RANK, EXTRA = 16, 13, 160, 8
 DIMS = 1 << DIM_BITS
 #: Leading dimensions that stand for topics; a paraphrase has one of these cosines with its item at the least.
 TOPICS, LEAST_COSINE, TOPIC_COSINE = 64, 0.2, 0.55
@@ -92,12 +92,36 @@ class Chunks:
 
     def times(self, table: np.ndarray) -> np.ndarray:
         """The chunks' rows of counts times ``table``, which has a last row of zeros."""
-        out = np.zeros((len(self.rows), table.shape[1]), np.float32)
-        for start in range(0, len(self.rows), 4096):
-            part = out[start : start + 4096]
-            for column in self.rows[start : start + 4096].T:
-                part += table[column]
-        return out
+        return _sums(self.rows, table)
+
+    def transposed_times(self, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, rows): the transposed counts times one row a chunk, for the places that occur.
+
+        A place's chunks are taken eight at a time, and then these sums are added up.
+        """
+        if not len(self.rows):
+            return np.zeros(0, np.int64), np.zeros((0, product.shape[1]), np.float32)
+        order = np.argsort(self.places, kind="stable")
+        places = self.places[order]
+        change = np.concatenate([[True], places[1:] != places[:-1]])
+        at = np.arange(len(places)) - np.flatnonzero(change)[np.cumsum(change) - 1]
+        new = at % 8 == 0
+        members = np.full((int(new.sum()), 8), len(product), np.int64)
+        members[np.cumsum(new) - 1, at % 8] = self.chunk_of[order]
+        groups, of_group = _sums(members, _with_zero(product)), places[new]
+        first = np.flatnonzero(np.concatenate([[True], of_group[1:] != of_group[:-1]]))
+        return of_group[first].astype(np.int64), np.add.reduceat(groups, first, axis=0)
+
+
+def _sums(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each row of numbers of rows of ``table``, the sum of these."""
+    out = np.zeros((len(rows), table.shape[1]), np.float32)
+    taken = np.empty((min(len(rows), 1024), table.shape[1]), np.float32)
+    for start in range(0, len(rows), 1024):
+        part = out[start : start + 1024]
+        for column in rows[start : start + 1024].T:
+            part += np.take(table, column, axis=0, out=taken[: len(part)], mode="clip")
+    return out
 
 
 def _signature_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +130,7 @@ def _signature_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_zero(table: np.ndarray) -> np.ndarray:
-    return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
+    return np.vstack([table.astype(np.float32), np.zeros((1, table.shape[1]), np.float32)])
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -148,13 +172,8 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[
         total = np.zeros((DIMS, width), np.float64)
         for batch in text_slices(batches, "text", _SLICE):
             chunks = Chunks(batch.column(0).to_pylist())
-            product = chunks.times(forward)
-            order = np.argsort(chunks.places, kind="stable")
-            for start in range(0, len(order), 1 << 13):
-                part = order[start : start + (1 << 13)]
-                places = chunks.places[part]
-                first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-                total[places[first]] += np.add.reduceat(product[chunks.chunk_of[part]], first, axis=0)
+            places, sums = chunks.transposed_times(chunks.times(forward))
+            total[places] += sums
         total *= weights[:, None]
         blocks = DIMS // _ROWS
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks), pa.int32()), pa.array([total[b * _ROWS : (b + 1) * _ROWS].astype(np.float32).tobytes() for b in range(blocks)], pa.binary())], names=["block", "data"])
