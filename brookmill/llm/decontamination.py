@@ -41,7 +41,7 @@ DIMS = 1 << DIM_BITS
 #: Leading dimensions that stand for topics; a paraphrase has one of these cosines with its item at the least.
 TOPICS, LEAST_COSINE, TOPIC_COSINE = 64, 0.2, 0.55
 #: Share of the item's words that it holds in order, with the answer; words of the shortest items looked for in other words.
-PARAPHRASE, PARAPHRASED = 0.45, 16
+PARAPHRASE, PARAPHRASED = 0.45, 24
 #: Share of an item's words in common order that proves a leak, alone or with the answer.
 ALONE, WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 5
 #: Items of fewer words are looked for as they are; items broadcast at a time, and compared at a time.
