@@ -3,9 +3,11 @@
 Ratings are grades 0 .. K-1.  One set of weights over hashed features of the text gives a
 score s, and ordered thresholds give P(grade <= k) = logistic(threshold_k - s), from which
 follow the expected grade and the probability of reaching the upper grade.  Features are the
-presence of words, of their beginnings, of runs of marks, and of words in capitals.  The model is fitted on a
-bounded sample of rated texts by stochastic gradients on shards, whose weights are averaged
-after every round.
+presence of words, of their beginnings, of runs of marks, and of words in capitals.  The model is fitted on
+all rated texts by stochastic gradients on shards, whose weights are averaged after every
+round; the bound of selection is an order statistic of all rated texts of the top grade.
+Rated texts travel as their features, so that no text is shuffled, and a shard is one row of
+bounded size, so that their number grows with the ratings and a round needs no shuffle of them.
 """
 
 from __future__ import annotations
@@ -13,17 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, text_slices, written
+from .common import text_slices, written
 from .hashing import HASH_SLICE, mix, piece_hashes
 
 FEATURE_BITS = 18
-#: Rated texts of each grade to fit on, shards, rounds, and sampled texts a feature must be in.
-SAMPLE, SHARDS, ROUNDS, LEAST_TEXTS = 6000, 8, 10, 4
+#: Least shards, rated texts a shard, rounds, and rated texts a feature must be in.
+SHARDS, SHARD_ROWS, ROUNDS, LEAST_TEXTS = 8, 8192, 10, 4
 #: A feature is used if its share of upper grades is so many standard deviations off, or its
 #: spread over the grades has so great a G statistic; the latter hardly depends on how many
 #: texts of each grade there are.
@@ -31,8 +32,9 @@ LEAST_Z, LEAST_G = 3.0, 16.0
 RATE, DECAY = 1.0, 1e-3
 #: Thresholds stay ordered by so much at least; their distances are fitted.
 LEAST_GAP = 0.01
-#: Share of the sampled top-grade texts that selection is to keep.
-KEEP_SHARE = 0.95
+#: Share of the rated top-grade texts that selection is to keep, and the steps of its bound:
+#: 2 ** STEP_BITS to one, counted in two passes of half the bits.
+KEEP_SHARE, STEP_BITS = 0.95, 30
 
 _KIND = np.full(256, 2, np.int8)  # marks
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -102,61 +104,153 @@ def telling(seen: np.ndarray, share: np.ndarray) -> np.ndarray:
     return (n[:, 0] >= LEAST_TEXTS) & ((z.max(axis=1, initial=0) >= LEAST_Z) | (g >= LEAST_G))
 
 
-def fit(docs: DataFrame, rated: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights and thresholds from about SAMPLE ratings (doc_id, grade) of each grade and their
-    texts, and the probability of the top grade that KEEP_SHARE of its sampled texts reach."""
+def _packed(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending ids of each text as gaps (the first from zero): their lower 16 bits and the rest."""
+    gaps = np.diff(ids, prepend=0)
+    gaps[starts] = ids[starts]
+    return gaps.astype("<u2"), (gaps >> 16).astype(np.uint8)
+
+
+def _unpacked(low: bytes, high: bytes, sizes: np.ndarray) -> np.ndarray:
+    gaps = np.frombuffer(high, np.uint8).astype(np.int32) << 16
+    gaps |= np.frombuffer(low, "<u2")
+    sums = np.cumsum(gaps, dtype=np.int64)
+    before = np.concatenate([np.zeros(1, np.int64), sums])[np.cumsum(sizes) - sizes]
+    return (sums - np.repeat(before, sizes)).astype(np.int32)
+
+
+_SHARD = "shard int, n int, grades binary, sizes binary, low binary, high binary"
+
+
+def _shards(docs: DataFrame, rated: DataFrame) -> DataFrame:
+    """All rated texts as rows of about SHARD_ROWS of them, in an order that only the rows decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", HASH_SLICE):
-            owner, place = features(batch.column(2).to_pylist())
+            owner, place = features(batch.column(1).to_pylist())
             both = np.unique(owner << FEATURE_BITS | place)
             borders = np.searchsorted(both >> FEATURE_BITS, np.arange(batch.num_rows + 1))
-            ids = both & (1 << FEATURE_BITS) - 1
-            x = [ids[borders[i] : borders[i + 1]] for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.int64()))], names=["doc_id", "grade", "x"])
-
-    # the sample's size is bounded, so its ids are broadcast and no text is shuffled
-    ids = sampled(rated, "grade", "doc_id", SAMPLE)
-    chosen = docs.join(F.broadcast(ids), "doc_id")
-    chosen = written(chosen.select("doc_id", F.col("grade").cast("int").alias("grade"), "text").mapInArrow(run, "doc_id long, grade int, x array<bigint>"), "rated-features")
-    counts = chosen.groupBy("grade").count().collect()
-    total = sum(n for _, n in counts)
+            low, high = _packed(both & (1 << FEATURE_BITS) - 1, borders[:-1][np.diff(borders) > 0])
+            columns = [pa.array([c[a:b].tobytes() for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())], pa.binary()) for c in (low, high)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "low", "high"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns))
+        if not rows:
+            return
+        rows.sort()
+        rows = [rows[i] for i in np.random.RandomState(7).permutation(len(rows))]
+        shard, _, low, high, grades = zip(*rows)
+        sizes = np.array([len(x) for x in high], "<i4")
+        held = [np.array(grades, np.int8).tobytes(), sizes.tobytes(), b"".join(low), b"".join(high)]
+        yield pa.RecordBatch.from_arrays([pa.array([shard[0]], pa.int32()), pa.array([len(rows)], pa.int32()), *(pa.array([x], pa.binary()) for x in held)], names=["shard", "n", "grades", "sizes", "low", "high"])
+
+    shards = max(SHARDS, -(-rated.count() // SHARD_ROWS))
+    # the same join at every size: ratings that fit a broadcast today don't on larger tables
+    chosen = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, low binary, high binary").join(rated.hint("shuffle_merge"), "doc_id")
+    shard = F.pmod(F.xxhash64("doc_id", "low", "high"), F.lit(shards)).cast("int").alias("shard")
+    dealt = chosen.select(shard, "doc_id", "low", "high", F.col("grade").cast("int").alias("grade")).repartitionById(shards, F.col("shard"))
+    return written(dealt.mapInArrow(gather, _SHARD), "rated-shards")
+
+
+def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each shard its grades, the features of all its texts end to end, and how many each has."""
+    for n, grades, sizes, low, high in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("n", "grades", "sizes", "low", "high"))):
+        sizes = np.frombuffer(sizes.as_py(), "<i4")
+        yield np.frombuffer(grades.as_py(), np.int8), _unpacked(low.as_py(), high.as_py(), sizes), sizes
+
+
+def _seen(shards: DataFrame, grades: int) -> np.ndarray:
+    """Texts of each grade that hold each feature, by feature, in a last row all texts; over all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(((1 << FEATURE_BITS) + 1) * grades, np.int64)
+        for batch in batches:
+            for own, x, sizes in _texts_of(batch):
+                total += np.bincount(x * np.int64(grades) + np.repeat(own, sizes), minlength=len(total))
+                total[-grades:] += np.bincount(own, minlength=grades)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(((1 << FEATURE_BITS) + 1) * grades)
+    for at, n in shards.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # as many rows at most
+        out[at] = n
+    return out.reshape(-1, grades)
+
+
+def _bound(probabilities: DataFrame) -> float | None:
+    """The greatest step that KEEP_SHARE of all rows (column p) reach."""
+    half = STEP_BITS // 2
+    step = F.floor(F.col("p") * float(1 << STEP_BITS)).cast("long")
+    steps = probabilities.select(F.shiftright(step, half).alias("upper"), step.bitwiseAND((1 << half) - 1).alias("lower"))
+    upper = dict(steps.groupBy("upper").count().collect())  # 2 ** half + 1 rows
+    need = int(np.ceil(KEEP_SHARE * sum(upper.values())))
+
+    def reached(counts: dict[int, int], need: int) -> tuple[int, int]:
+        for value in sorted(counts, reverse=True):
+            if counts[value] >= need:
+                return value, need
+            need -= counts[value]
+        raise ValueError("no rows")
+
+    if not upper:
+        return None
+    high, need = reached(upper, need)
+    low, _ = reached(dict(steps.where(F.col("upper") == high).groupBy("lower").count().collect()), need)
+    return (high << half | low) / (1 << STEP_BITS)
+
+
+def fit(docs: DataFrame, rated: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights and thresholds from all ratings (doc_id, grade) and their texts, and the
+    probability of the top grade that KEEP_SHARE of its rated texts reach."""
+    shards = _shards(docs, rated)
+    seen = _seen(shards, grades)
+    of_grade, seen = seen[-1], seen[:-1]
+    total = int(of_grade.sum())
     weights = np.zeros(1 << FEATURE_BITS)
-    below = np.cumsum([dict(counts).get(g, 0) for g in range(grades)])[:-1] / max(total, 1)
+    below = np.cumsum(of_grade)[:-1] / max(total, 1)
     thresholds = np.maximum.accumulate(np.log((below + 1e-3) / (1 - below + 1e-3)))
     if not total:
         return weights, thresholds, 0.5
-    of_grade = [F.count_if(F.col("grade") == k).alias(f"grade{k}") for k in range(grades)]
-    seen = np.array(chosen.select(F.explode("x").alias("f"), "grade").groupBy("f").agg(*of_grade).collect(), float).reshape(-1, grades + 1)
-    keep = np.zeros(1 << FEATURE_BITS, bool)  # the table above has at most as many rows
-    keep[seen[telling(seen[:, 1:], np.diff([0, *below, 1])), 0].astype(int)] = True
-    sharded = chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
+    keep = telling(seen, np.diff([0, *below, 1]))
+    context = shards.sparkSession.sparkContext
     for number in range(ROUNDS):
-        now = sharded.sparkSession.sparkContext.broadcast((weights, thresholds, keep))
-
-        def train(pdf: pd.DataFrame) -> pd.DataFrame:
-            w, t, kept = now.value
-            pdf = pdf.sort_values("doc_id").sample(frac=1, random_state=7)
-            rows = [(x[kept[x]], int(g)) for x, g in zip(map(np.asarray, pdf["x"]), pdf["grade"])]
-            w, t = sgd_round(rows, w, t, RATE / np.sqrt(1 + number))
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(pdf)], "w": [w.tobytes()], "t": [t.tobytes()]})
-
-        parts = sorted(sharded.groupBy("shard").applyInPandas(train, "shard int, n long, w binary, t binary").collect())  # SHARDS rows
-        share = np.array([p["n"] for p in parts]) / total
-        weights = sum(s * np.frombuffer(p["w"]) for s, p in zip(share, parts))
-        thresholds = sum(s * np.frombuffer(p["t"]) for s, p in zip(share, parts))
+        now = context.broadcast((weights, thresholds, keep))
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, thresholds, kept = now.value
+            moved, moved_thresholds = np.zeros(len(weights)), np.zeros(len(thresholds))
+            for batch in batches:
+                for own, x, sizes in _texts_of(batch):
+                    use = kept[x]
+                    ends = np.concatenate([[0], np.cumsum(use)])[np.cumsum(sizes)]
+                    rows = list(zip(np.split(x[use], ends[:-1]), own.tolist()))
+                    w, t = sgd_round(rows, weights, thresholds, RATE / np.sqrt(1 + number))
+                    moved += len(rows) * (w - weights)
+                    moved_thresholds += len(rows) * (t - thresholds)
+            at = np.flatnonzero(moved)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, len(moved) + np.arange(len(thresholds))])), pa.array(np.concatenate([moved[at], moved_thresholds]))], names=["at", "moved"])
+
+        both = np.concatenate([weights, thresholds])
+        for at, moved in shards.mapInArrow(train, "at long, moved double").groupBy("at").agg(F.sum("moved")).collect():  # as many rows at most
+            both[at] += moved / total
+        both = both.round(12)  # the order of sums doesn't show
+        weights, thresholds = both[: len(weights)], both[len(weights) :]
         now.unpersist()
     weights = np.where(np.abs(weights) > 1e-3, weights, 0.0)
-    now = sharded.sparkSession.sparkContext.broadcast(weights)
+    now = context.broadcast((weights, thresholds))
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, t = now.value
         for batch in batches:
-            s = np.array([now.value[np.asarray(x, np.int64)].sum() for x in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(1 - _logistic(thresholds[-1] - s))], names=["p"])
+            for own, x, sizes in _texts_of(batch):
+                s = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[x], len(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(1 - _logistic(t[-1] - s[own == grades - 1]))], names=["p"])
 
-    top = chosen.where(F.col("grade") == grades - 1).select("x").mapInArrow(probabilities, "p double")
-    least = top.agg(F.percentile("p", F.lit(1 - KEEP_SHARE))).first()[0]
-    return weights, thresholds, 0.5 if least is None else float(least)
+    least = _bound(written(shards.mapInArrow(probabilities, "p double"), "top-grade"))
+    return weights, thresholds, 0.5 if least is None else least
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -169,7 +263,7 @@ def judge_quality(docs: DataFrame, rated: DataFrame, grades: int = 3, least: flo
 
     ``rated`` has doc_id and grade; rows without a grade or a matching text are left out.
     ``tail_prob`` is the probability of the top grade, and ``kept`` whether it is at least
-    ``least``, or by default what KEEP_SHARE of the sampled texts of that grade reach.  A text that is null or has no visible character has expected grade and
+    ``least``, or by default what KEEP_SHARE of the rated texts of that grade reach.  A text that is null or has no visible character has expected grade and
     probability 0 and isn't kept.  With no ratings all others get the same values.  Repeated
     rows count each; other columns are ignored; an empty table gives no rows.
     """

@@ -124,3 +124,20 @@ def test_token_files_of_null_and_repeated_ids(spark):
         start += len(ids)
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
     assert token_files.token_file_index(docs_of(spark, []), path).count() == 0
+
+
+def test_quality_learns_from_every_rating(spark):
+    """A word that only ratings past any sample hold tells grades apart, and the bound counts all top-grade texts."""
+    n = 9000
+    ids = spark.range(n).withColumn("chance", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    far = {r["id"] for r in ids.where("chance > 0.7").collect()}  # a draw of 6000 a grade by this hash leaves these out
+    r = random.Random(8)
+    grades = [0 if i % 50 == 0 else 1 if i % 50 == 1 else 2 for i in range(n)]
+    texts = [" ".join([*r.choices(["plain", "even", "level", "common", "usual", "daily"], k=4), *(["splendid"] if i in far and g == 2 else [])]) for i, g in enumerate(grades)]
+    marks = spark.createDataFrame(list(enumerate(grades)), "doc_id long, grade int")
+    got = quality.judge_quality(docs_of(spark, [*texts, "plain even", "plain even splendid"]), marks).orderBy("doc_id").collect()
+    assert got[n + 1]["tail_prob"] > got[n]["tail_prob"]
+    top = sorted((row["tail_prob"] for row, g in zip(got, grades) if g == 2), reverse=True)
+    least = min(row["tail_prob"] for row in got[:n] if row["kept"])
+    need = math.ceil(quality.KEEP_SHARE * len(top))
+    assert sum(p >= least for p in top) >= need and math.isclose(least, top[need - 1], abs_tol=1e-8)
