@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_llm import AWKWARD, docs_of, plain_fingerprint, small_words
 from tokenizers import Tokenizer
 
-from brookmill.llm import language_id, quality, simhash, token_files
+from brookmill.llm import jaccard_dedup, language_id, quality, simhash, token_files
 
 
 def test_simhash_of_null_and_repeated_ids(spark):
@@ -141,3 +141,17 @@ def test_quality_learns_from_every_rating(spark):
     least = min(row["tail_prob"] for row in got[:n] if row["kept"])
     need = math.ceil(quality.KEEP_SHARE * len(top))
     assert sum(p >= least for p in top) >= need and math.isclose(least, top[need - 1], abs_tol=1e-8)
+
+
+def test_near_duplicates_start_from_fingerprints(spark, monkeypatch):
+    """SimHash links near copies by itself; pairs of like fingerprints and unlike shingles aren't linked."""
+    long = small_words(3, 6000, 3000)
+    line = " ".join(small_words(4, 11, 3000) * 300)
+    texts = [" ".join(long), " ".join([*long[:3000], "changed", *long[3001:]]), f"{line} " + " ".join(small_words(5, 40, 3000)), f"{line} " + " ".join(small_words(6, 40, 3000)), "short text"]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and (fps[2] ^ fps[3]).bit_count() <= 2
+    docs = docs_of(spark, texts)
+    want = [0, 0, 2, 3, 4]
+    assert [r["component_id"] for r in jaccard_dedup.jaccard_groups(docs).orderBy("doc_id").collect()] == want
+    monkeypatch.setattr(jaccard_dedup, "_meeting", lambda rows: spark.createDataFrame([], jaccard_dedup._MET))
+    assert [r["component_id"] for r in jaccard_dedup.jaccard_groups(docs).orderBy("doc_id").collect()] == want
