@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -155,3 +156,11 @@ def test_near_duplicates_start_from_fingerprints(spark, monkeypatch):
     assert [r["component_id"] for r in jaccard_dedup.jaccard_groups(docs).orderBy("doc_id").collect()] == want
     monkeypatch.setattr(jaccard_dedup, "_meeting", lambda rows: spark.createDataFrame([], jaccard_dedup._MET))
     assert [r["component_id"] for r in jaccard_dedup.jaccard_groups(docs).orderBy("doc_id").collect()] == want
+
+
+def test_language_sends_a_carried_text_once(spark):
+    texts, langs = ["abc abc de", None, "mno pqr st", "123"], ["xx", "yy", "yy", None]
+    got = language_id.predict_language(docs_of(spark, texts, None, langs), carry=("lang", "text"))
+    assert [(r["lang"], r["text"]) for r in got.orderBy("doc_id").collect()] == list(zip(langs, texts))
+    sent = re.search(r"MapInArrow \w+\((.*?)\)", got._jdf.queryExecution().optimizedPlan().toString())[1]
+    assert "_text#" in sent and not re.search(r"\btext#", sent)
