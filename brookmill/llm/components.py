@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ignored; repeated edges count once; no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    now = written(pairs, "edges")
+    now = written(pairs, "edges", pairs=True)
     state = _state(now)
     while state[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = written(small.union(least.select("hi", "m")).distinct(), "edges")
+        now = written(small.union(least.select("hi", "m")).distinct(), "edges", pairs=True)
         before, state = state, _state(now)
         if state == before:
             break

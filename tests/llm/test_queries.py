@@ -1,6 +1,7 @@
 """The registered queries and the pipeline on the smallest tables."""
 
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -94,3 +95,28 @@ def test_stages_take_awkward_tables(spark, sf_dir):
             assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in got} if not kept else kept) >= len(texts) + 1
         if name == "benchmark_decontamination":
             assert len(kept) == len(texts) + 1
+
+
+def test_stages_write_few_files(spark, tmp_path):
+    """Every written file starts processes in the executor; a table has a file a core, whatever the partitions."""
+    texts = [f"w{i % 40} " * 60 + " ".join(f"u{i * 7 + j * j}" for j in range(90)) for i in range(150)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + texts[:30] + [t + " end" for t in texts[:30]])], "doc_id long, text string, lang string, source string, n_chars long").repartition(16).write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in").repartition(16)
+    confs = {"spark.sql.shuffle.partitions": str(2 * spark.sparkContext.defaultParallelism), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        stages = dict(corpus_pipeline.STAGES)
+        for name, plain in (("simhash_near_dedup", corpus_pipeline.near_duplicates), ("suffix_array_dedup", corpus_pipeline.repeated_passages)):
+            stages[name](spark, docs, "").write.parquet(out := f"{tmp_path}/{name}")
+            paths = [Path(p.removeprefix("file://")) for p in corpus_pipeline._in_use[spark.sparkContext.applicationId]]
+            assert paths
+            most = [len(list(p.glob("part-*"))) for p in [*paths, Path(out)] if "/slices-" not in str(p)]
+            assert max(most) <= spark.sparkContext.defaultParallelism, most
+            rows = sorted(map(tuple, spark.read.parquet(out).select(*corpus_pipeline.COLUMNS).collect()))
+            assert rows == sorted(map(tuple, plain(spark, docs, "").select(*corpus_pipeline.COLUMNS).collect()))
+            assert rows
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
