@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, text_slices
+from .common import giving_back, parallelism, text_slices
 from .hashing import mix, piece_hashes
 
 #: Words of a chunk, hashed words, latent dimensions and extra ones for the sketch.
@@ -152,7 +152,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(total)], names=["place", "n"])
 
     total = np.zeros(DIMS + 1)
-    for place, n in docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n")).collect():  # DIMS + 1 rows
+    for place, n in docs.select("text").mapInArrow(giving_back(run), "place long, n long").groupBy("place").agg(F.sum("n")).collect():  # DIMS + 1 rows
         total[place] = n
     return np.log((1 + total[DIMS]) / (1 + total[:DIMS]))
 
@@ -185,8 +185,8 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[
                 sums[block] = sums.get(block, 0) + np.frombuffer(data, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "data"])
 
-    sketched = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(sketch, "block int, data binary")
-    added = sketched.repartition(min(parallelism(docs.sparkSession), DIMS // _ROWS), "block").mapInArrow(add_up, "block int, data binary")
+    sketched = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(giving_back(sketch), "block int, data binary")
+    added = sketched.repartition(min(parallelism(docs.sparkSession), DIMS // _ROWS), "block").mapInArrow(giving_back(add_up), "block int, data binary")
     z = np.zeros((DIMS, width))
     for block, data in added.collect():  # DIMS x width numbers in all
         z[block * _ROWS : (block + 1) * _ROWS] = np.frombuffer(data).reshape(_ROWS, width)
@@ -233,7 +233,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found, block = None, []
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        return narrow.mapInArrow(_searcher(block, latent, idf, docs.sparkSession), "doc_id long, item_id long, cosine double, common double, answer boolean, topic_cosine double")
+        return narrow.mapInArrow(giving_back(_searcher(block, latent, idf, docs.sparkSession)), "doc_id long, item_id long, cosine double, common double, answer boolean, topic_cosine double")
 
     rows = items.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").toLocalIterator()
     for row in rows:

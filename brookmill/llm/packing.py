@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, text_slices, written
+from .common import giving_back, parallelism, text_slices, written
 from .tokens import TEXT_SLICE, encoder
 
 Configuration = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -212,7 +212,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    return narrow.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return narrow.mapInArrow(giving_back(encode), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -247,4 +247,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                 offset[part] = run[:, 2] + nth % run[:, 1] * lengths[part]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(giving_back(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

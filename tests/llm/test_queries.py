@@ -8,6 +8,7 @@ import pytest
 from test_llm import AWKWARD, components, docs_of, plain_removal, plain_shingles, small_words
 
 import corpus_pipeline
+from brookmill.llm.common import giving_back
 from brookmill.llm.oracles import ORACLES
 from brookmill.llm.queries import QUERIES
 
@@ -120,3 +121,39 @@ def test_stages_write_few_files(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_stages_take_small_batches(spark, tmp_path):
+    """A stage's Python tasks get batches of bounded bytes, its rows don't depend on them, and a size that the session sets stays."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = [f"w{i % 40} " * 60 + " ".join(f"u{i * 7 + j * j}" for j in range(90)) for i in range(150)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts + texts[:30] + [t + " end" for t in texts[:30]])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/in")
+    docs, stages, found = spark.read.parquet(f"{tmp_path}/in"), dict(corpus_pipeline.STAGES), {}
+    try:
+        for size in (None, "2000"):
+            spark.conf.unset(conf)
+            if size:
+                spark.conf.set(conf, size)
+            for name in ("language_id", "simhash_near_dedup", "suffix_array_dedup", "best_fit_packing"):
+                result = sorted(map(str, stages[name](spark, docs, "").drop("sequence_id", "offset").collect()))
+                assert result and found.setdefault(name, result) == result, name
+                assert spark.conf.get(conf) == (size or str(4 << 20))
+    finally:
+        spark.conf.unset(conf)
+
+
+def test_tasks_give_memory_back():
+    """What a task has freed leaves the Python worker, which waits for the next one."""
+
+    def resident() -> int:
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    def run(batches):
+        pieces = [b"x" * size for size in range(50_000, 54_000)]  # 200 MB that the C library keeps for itself
+        yield resident()
+        batches.append(pieces.pop())  # so that its end is in use
+
+    kept = []
+    inside, *_ = giving_back(run)(kept)
+    assert inside - resident() > 150
