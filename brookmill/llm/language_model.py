@@ -6,8 +6,10 @@ Training counts of single tokens and of pairs are quantised to levels, two for e
 so a false answer can only raise a count, and rarely by more than one level.  The filter has
 ``BITS_PER_KEY`` bits for every key that it holds, bucket by bucket, so that the share of
 false answers is the same for any corpus.  Up to ``BROADCAST_BITS`` it is broadcast; a larger
-one stays in its buckets, and the keys of each slice of texts are probed there, with the same
-answers.
+one stays in its buckets, and the keys of each group of texts are probed there, with the same
+answers.  A group has about ``ASKED`` tokens and asks each bucket at most once, so the questions
+are few; they and the counts travel as gaps between sorted keys, byte by byte, and what a bucket
+answers comes back to the group's tokens.
 
 A token's probability is PAIR_WEIGHT of its pair's share of the history's count and the rest of
 the token's smoothed share of the corpus; after a history that was never seen it is the smoothed
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, parallelism, text_slices, written
+from .common import dropping_shuffles, fold_of, parallelism, text_slices, written
 from .hashing import mix, pair_hash, words_of
 
 #: Bits of the filter for each key, and hash functions of a key: about 2 % of keys that are not
@@ -52,6 +54,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 TEXT_SLICE = 1 << 20
 #: N-grams that a training task gathers before it hands them on.
 GATHERED = 1_500_000
+#: Tokens of the texts that ask the buckets together; keys and texts that a bucket answers at once.
+ASKED, ANSWERED = 1_500_000, 1 << 18
 
 _COUNTED = "bucket int, kind string, keys binary, counts binary"
 
@@ -69,6 +73,31 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, owner, np.concatenate([[END], tokens[:-1]])
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Different keys in order; by sorting, which is many times faster here than numpy's own way with a hash table."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all second bytes and so on: the planes that hold little compress well."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    """Ascending keys as the planes of the first one and of the gaps between them."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(gaps: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(gaps, "<u8"), dtype=np.uint64)
+
+
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -97,7 +126,7 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
                 borders = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))  # buckets are ranges of keys
                 rows = [b for b in range(buckets) if borders[b] < borders[b + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int32()), pa.array([kind] * len(rows)), pa.array([keys[borders[b] : borders[b + 1]].tobytes() for b in rows], pa.binary()), pa.array([counts[borders[b] : borders[b + 1]].astype("<u4").tobytes() for b in rows], pa.binary())],
+                    [pa.array(rows, pa.int32()), pa.array([kind] * len(rows)), pa.array([_gaps(keys[borders[b] : borders[b + 1]]) for b in rows], pa.binary()), pa.array([_planes(counts[borders[b] : borders[b + 1]].astype("<u4")) for b in rows], pa.binary())],
                     names=["bucket", "kind", "keys", "counts"],
                 )
 
@@ -164,17 +193,37 @@ def _log_probabilities(tokens: np.ndarray, history: np.ndarray, level_of, n: int
     ``exact`` has the ascending keys of frequent words, and their counts.
     """
     unique, back = np.unique(np.concatenate([tokens, history]), return_inverse=True)
-    levels = level_of(unique)
+    least, most = _counts(unique, level_of(unique), exact)
+    pairs, of_pair = np.unique(pair_hash(history, tokens), return_inverse=True)
+    return _logs(least[back[: len(tokens)]], most[back[len(tokens) :]], AT_LEAST[level_of(pairs)][of_pair], n, v)
+
+
+def _log_probabilities_of(words: np.ndarray, at: np.ndarray, word_levels: np.ndarray, levels: np.ndarray, n: int, v: int, exact: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The same for the texts of a group: its different words in order, each token's number among them,
+    and the levels of all words that ``exact`` hasn't and of all pairs, each by ascending key."""
+    end = np.searchsorted(words, END)
+    before = np.concatenate([[end], at[:-1]])
+    of_pair = np.unique(pair_hash(words[before], words[at]), return_inverse=True)[1]
+    of_word = np.zeros(len(words), np.int8)
+    of_word[~np.isin(words, exact[0], assume_unique=True)] = word_levels
+    least, most = _counts(words, of_word, exact)
+    return _logs(least[at], most[before], AT_LEAST[levels][of_pair], n, v)
+
+
+def _counts(words: np.ndarray, levels: np.ndarray, exact: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest count that each word may have."""
     least, most = AT_LEAST[levels], AT_MOST[levels]
     if len(exact[0]):
-        at = np.minimum(np.searchsorted(exact[0], unique), len(exact[0]) - 1)
-        known = exact[0][at] == unique
+        at = np.minimum(np.searchsorted(exact[0], words), len(exact[0]) - 1)
+        known = exact[0][at] == words
         least[known] = most[known] = exact[1][at[known]]
-    c1, c0 = least[back[: len(tokens)]], most[back[len(tokens) :]]
-    pairs, back = np.unique(pair_hash(history, tokens), return_inverse=True)
-    c2 = np.minimum(AT_LEAST[level_of(pairs)][back], c0)
+    return least, most
+
+
+def _logs(c1: np.ndarray, c0: np.ndarray, c2: np.ndarray, n: int, v: int) -> np.ndarray:
+    """From the counts of each token, its history and their pair."""
     share = (np.minimum(c1, n) + 1) / (n + v + 1)
-    p = np.where(c0 > 0, PAIR_WEIGHT * c2 / np.maximum(c0, 1) + (1 - PAIR_WEIGHT) * share, share)
+    p = np.where(c0 > 0, PAIR_WEIGHT * np.minimum(c2, c0) / np.maximum(c0, 1) + (1 - PAIR_WEIGHT) * share, share)
     return np.log10(np.minimum(p, 1.0))
 
 
@@ -198,7 +247,7 @@ def _merge(counted: DataFrame, buckets: int, bits_per_key: int) -> DataFrame:
         def merged_row() -> pa.RecordBatch:
             both = {}
             for kind, parts in held.items():
-                both[kind] = _merged(np.concatenate([np.frombuffer(k, "<u8") for k, _ in parts] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(c, "<u4") for _, c in parts] or [np.zeros(0, np.uint32)]).astype(np.int64))
+                both[kind] = _merged(np.concatenate([_keys(k) for k, _ in parts] or [np.zeros(0, np.uint64)]), np.concatenate([_numbers(c, "<u4") for _, c in parts] or [np.zeros(0, np.uint32)]).astype(np.int64))
                 parts.clear()
             keys, counts = both["1"]
             top = np.sort(np.argsort(-counts, kind="stable")[:head])
@@ -221,14 +270,34 @@ def _merge(counted: DataFrame, buckets: int, bits_per_key: int) -> DataFrame:
 
 _MERGED_ARROW = pa.schema([("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), *((c, pa.binary()) for c in ("head_keys", "head_counts", "keys", "counts", "part"))])
 
-_SCORED_ARROW = pa.schema([
-    ("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()), ("probes", pa.binary()), ("tokens", pa.binary()),
-    ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))),
-])
+_DOCS_ARROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
 _DOCS = "array<struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"
-_SCORED = f"batch long, bucket int, keys binary, texts binary, times binary, probes binary, tokens binary, docs {_DOCS}"
-_ANSWER = "batch long, bucket int, texts binary, known binary, logs binary, levels binary"
-_ANSWER_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("texts", "known", "logs", "levels"))])
+#: A row of a group has its texts and the tokens that are still open, as numbers of its words: those
+#: whose words aren't broadcast, with their text's number, or all tokens where the filter isn't
+#: broadcast.  Every other row is what the group asks one bucket: counts of words, levels of pairs.
+_SCORED = f"batch long, bucket int, docs {_DOCS}, words binary, tokens binary, texts binary, keys binary, pairs binary"
+_SCORED_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("docs", _DOCS_ARROW), *((c, pa.binary()) for c in ("words", "tokens", "texts", "keys", "pairs"))])
+_ANSWER = f"batch long, bucket int, docs {_DOCS}, words binary, tokens binary, texts binary, counts binary, word_levels binary, levels binary"
+_ANSWER_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("docs", _DOCS_ARROW), *((c, pa.binary()) for c in ("words", "tokens", "texts", "counts", "word_levels", "levels"))])
+
+
+def _answers(asked: list[tuple], keys: np.ndarray, counts: np.ndarray, filter_: FrequencyFilter | None) -> pa.RecordBatch:
+    """What one bucket says to rows (batch, bucket, words, pairs), all looked up together."""
+
+    def all_of(column: int) -> tuple[np.ndarray, list[slice]]:
+        arrays = [np.zeros(0, np.uint64) if row[column] is None else _keys(row[column]) for row in asked]
+        ends = np.cumsum([0] + [len(x) for x in arrays]).tolist()
+        return np.concatenate(arrays), [slice(*x) for x in zip(ends, ends[1:])]
+
+    (words, of_words), (pairs, of_pairs) = all_of(2), all_of(3)
+    found = np.zeros(len(words), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+        found = np.where(keys[at] == words, counts[at], 0)
+    levels = [np.zeros(len(x), np.int8) if filter_ is None else filter_.levels(x, np.zeros(len(x), int)) for x in (words, pairs)]
+    columns = [[_planes(found[x]) for x in of_words], [levels[0][x].tobytes() for x in of_words], [levels[1][x].tobytes() for x in of_pairs]]
+    none = [pa.nulls(len(asked), kind) for kind in (_DOCS_ARROW, pa.binary(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array([row[0] for row in asked], pa.int64()), pa.array([row[1] for row in asked], pa.int32()), *none, *(pa.array(c, pa.binary()) for c in columns)], schema=_ANSWER_ARROW)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key: int = BITS_PER_KEY, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
@@ -241,10 +310,11 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
     A filter of more than ``broadcast_bits`` bits is probed where it lies.
     """
     spark = docs.sparkSession
-    buckets = 4 * parallelism(spark)
+    buckets = 2 * parallelism(spark)
     held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held)
-    merged = written(_merge(_count(rows.where("not held_out"), buckets), buckets, bits_per_key), "ngram-counts")
+    with dropping_shuffles(spark):
+        merged = written(_merge(_count(rows.where("not held_out"), buckets), buckets, bits_per_key), "ngram-counts")
     n, v, filter_bytes = (x or 0 for x in merged.agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("part"))).first())
     sharded = 8 * filter_bytes > broadcast_bits
     parts = [np.zeros(0, np.uint8)] * buckets
@@ -260,21 +330,35 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
     model = spark.sparkContext.broadcast((None if sharded else FrequencyFilter(parts), head_keys, head_counts))
     parts.clear()
     base_log = float(np.log10(n + v + 1))
+    slice_bytes, ask_at = TEXT_SLICE, ASKED
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, keys_of_head, counts_of_head = model.value
         partition = TaskContext.get().partitionId()
-        for number, batch in enumerate(text_slices(batches, "text", TEXT_SLICE)):
+        number, n_held = 0, 0
+        about: list[dict] = []
+        flow: list[tuple[np.ndarray, np.ndarray]] = []  # of each slice: the words of its open tokens, and each one's number among them
+        texts_of: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []
+
+        def ask() -> pa.RecordBatch:
+            """A row for the texts, and one for each bucket that holds what they have to know."""
+            words, place = np.unique(np.concatenate([w for w, _ in flow]), return_inverse=True)
+            begin = np.cumsum([0] + [len(w) for w, _ in flow]).tolist()
+            tokens = np.concatenate([place[i:j][at] for i, j, (_, at) in zip(begin, begin[1:], flow)])
+            own = {"batch": batch_id, "docs": about, "words": _gaps(words), "tokens": _planes(tokens.astype("<u4")), "texts": None if sharded else _planes(np.concatenate(texts_of).astype("<u4"))}
+            rows: dict[int, dict] = {}
+            for name, arrays in (("keys", keys), ("pairs", pairs)):
+                asked = _distinct(np.concatenate(arrays or [words[:0]]))
+                for b, part in _by_bucket(asked, buckets):
+                    rows.setdefault(b, {"batch": batch_id, "bucket": b})[name] = _gaps(asked[part])
+            return pa.RecordBatch.from_pylist([own, *rows.values()], schema=_SCORED_ARROW)
+
+        for batch in text_slices(batches, "text", slice_bytes):
             batch_id = (partition << 32) + number
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            tokens, owner, history = _tokens(texts)
-            m, out = len(texts), []
-            if sharded:
-                scores = np.zeros(m)
-                probes = np.unique(np.concatenate([tokens, pair_hash(history, tokens)]))
-                out = [{"batch": batch_id, "bucket": b, "probes": probes[part].tobytes()} for b, part in _by_bucket(probes, buckets)]
-            else:
-                scores = np.bincount(owner, _log_probabilities(tokens, history, lambda keys: filter_.levels(keys, _bucket_of(keys, buckets)), n, v, (keys_of_head, counts_of_head)), m)
+            tokens, owner, history = _tokens([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
+            m = batch.num_rows
             unique, back = np.unique(tokens, return_inverse=True)
             at = np.minimum(np.searchsorted(keys_of_head, unique), max(len(keys_of_head) - 1, 0))
             in_head = (keys_of_head[at] == unique) if len(keys_of_head) else np.zeros(len(unique), bool)
@@ -283,87 +367,89 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
             base = np.bincount(owner, np.where(in_head_token, np.log10(exact + 1.0)[back], 0.0), m)
             lengths = np.bincount(owner, minlength=m)
             known = np.bincount(owner[in_head_token], minlength=m)
-            about = [dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "score"), x)) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), lengths.tolist(), known.tolist(), (base - lengths * base_log).tolist(), scores.tolist())]
-            out.append({"batch": batch_id, "docs": about, "tokens": tokens.tobytes() if sharded else None})
             # words that aren't broadcast are looked up where their counts are
-            rest = np.flatnonzero(~in_head_token)
-            rest = rest[np.lexsort((owner[rest], tokens[rest]))]
-            keys, texts_of = tokens[rest], owner[rest]
-            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (texts_of[1:] != texts_of[:-1])])) if len(rest) else np.zeros(0, int)
-            times = np.diff(np.append(first, len(rest)))
-            keys, texts_of = keys[first], texts_of[first]
-            for b, part in _by_bucket(keys, buckets):
-                out.append({"batch": batch_id, "bucket": b, "keys": keys[part].tobytes(), "texts": texts_of[part].astype("<u4").tobytes(), "times": times[part].astype("<u4").tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=_SCORED_ARROW)
-
-    scored = written(rows.mapInArrow(score, _SCORED), "scored")
+            keys.append(unique[~in_head])
+            if sharded:
+                scores = np.zeros(m)
+                flow.append((unique, back))
+                pairs.append(_distinct(pair_hash(history, tokens)))
+            else:
+                scores = np.bincount(owner, _log_probabilities(tokens, history, lambda keys: filter_.levels(keys, _bucket_of(keys, buckets)), n, v, (keys_of_head, counts_of_head)), m)
+                flow.append((unique[~in_head], (np.cumsum(~in_head) - 1)[back[~in_head_token]]))
+                texts_of.append(owner[~in_head_token] + len(about))
+            about += [dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "score"), x)) for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), lengths.tolist(), known.tolist(), (base - lengths * base_log).tolist(), scores.tolist())]
+            n_held += len(tokens)
+            if n_held >= ask_at:
+                yield ask()
+                number, n_held = number + 1, 0
+                for held in (about, flow, texts_of, keys, pairs):
+                    held.clear()
+        if about:
+            yield ask()
+
+    scored = rows.mapInArrow(score, _SCORED)
+    if not sharded:  # small then; else more than the texts, and read once
+        scored = written(scored, "scored")
     empty = F.lit(None).cast("binary")
-    asked = scored.where("bucket is not null").select("bucket", F.lit(1).alias("turn"), "batch", "keys", "texts", "times", "probes")
-    counts = merged.select("bucket", F.lit(0).alias("turn"), F.lit(-1).cast("bigint").alias("batch"), "keys", F.col("counts").alias("texts"), empty.alias("times"), (F.col("part") if sharded else empty).alias("probes"))
+    dealt = F.coalesce("bucket", F.pmod(F.xxhash64("batch"), F.lit(buckets)).cast("int"))  # a group's own row passes through any bucket
+    asked = scored.select(dealt.alias("to"), F.lit(1).alias("turn"), *scored.columns)
+    counts = merged.select(F.col("bucket").alias("to"), F.lit(0).alias("turn"), F.lit(-1).cast("bigint").alias("batch"), "bucket", F.lit(None).cast(_DOCS).alias("docs"), (F.col("part") if sharded else empty).alias("words"), empty.alias("tokens"), "counts", "keys", empty.alias("pairs"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, keys, counts, filter_ = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), FrequencyFilter([np.zeros(0, np.uint8)])
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        bucket, held, size = None, nothing, 0
+        waiting: list[tuple] = []
         for arrow in batches:
-            answers = []
-            for b, turn, batch, k, t, times, probes in zip(*(c.to_pylist() for c in arrow.columns)):
-                if b != bucket:
-                    bucket, keys, counts, filter_ = b, np.zeros(0, np.uint64), np.zeros(0, np.int64), FrequencyFilter([np.zeros(0, np.uint8)])
+            for to, turn, batch, b, docs, words, tokens, texts, keys, pairs in zip(*(c.to_pylist() for c in arrow.columns)):
+                if waiting and (to != bucket or size >= ANSWERED):
+                    yield _answers(waiting, *held)
+                    waiting, size = [], 0
+                if to != bucket:
+                    bucket, held = to, nothing
                 if turn == 0:
-                    keys, counts = np.frombuffer(k, "<u8"), np.frombuffer(t, "<i8")
-                    if probes is not None:
-                        filter_ = FrequencyFilter([np.frombuffer(probes, np.uint8)])
-                    continue
-                if probes is not None:
-                    wanted = np.frombuffer(probes, "<u8")
-                    answers.append({"batch": batch, "bucket": b, "levels": filter_.levels(wanted, np.zeros(len(wanted), int)).tobytes()})
-                    continue
-                wanted, text, n_times = np.frombuffer(k, "<u8"), np.frombuffer(t, "<u4"), np.frombuffer(times, "<u4")
-                at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-                hit = np.flatnonzero(keys[at] == wanted) if len(keys) else np.zeros(0, int)
-                if len(hit):
-                    own, back = np.unique(text[hit], return_inverse=True)
-                    found = counts[at[hit]]
-                    answers.append({"batch": batch, "bucket": b, "texts": own.astype("<u4").tobytes(), "known": np.bincount(back, n_times[hit]).astype("<i8").tobytes(), "logs": np.bincount(back, n_times[hit] * np.log10(found + 1.0)).tobytes()})
-            yield pa.RecordBatch.from_pylist(answers, schema=_ANSWER_ARROW)
-
-    answers = asked.union(counts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "turn", "batch").mapInArrow(look_up, _ANSWER)
-    parts_of_batch = scored.where("docs is not null").select("batch", F.lit(-1).alias("bucket"), "docs", "tokens", *(empty.alias(c) for c in ("texts", "known", "logs", "levels")))
-    parts_of_batch = parts_of_batch.union(answers.select("batch", "bucket", F.lit(None).cast(_DOCS), empty, "texts", "known", "logs", "levels"))
+                    held = np.frombuffer(keys, "<u8"), np.frombuffer(texts, "<i8"), None if words is None else FrequencyFilter([np.frombuffer(words, np.uint8)])
+                elif docs is not None:
+                    yield pa.RecordBatch.from_pylist([{"batch": batch, "bucket": -1, "docs": docs, "words": words, "tokens": tokens, "texts": texts}], schema=_ANSWER_ARROW)
+                else:
+                    waiting.append((batch, b, keys, pairs))
+                    size += (len(keys or b"") + len(pairs or b"")) // 8
+        if waiting:
+            yield _answers(waiting, *held)
+
+    answers = asked.union(counts).repartitionById(buckets, F.col("to")).sortWithinPartitions("to", "turn", "batch").mapInArrow(look_up, _ANSWER)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: list[dict] = []
-        known, base = np.zeros(0, np.int64), np.zeros(0)
-        tokens, levels = None, []
+        group: dict | None = None
+        answered: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            columns = {k: [d[k] for d in current] for k in ("doc_id", "held_out", "n_tokens", "score")}
-            scores = columns["score"]
-            if tokens is not None:
-                history = np.concatenate([[END], tokens[:-1]])
-                probed, held = np.unique(np.concatenate([tokens, pair_hash(history, tokens)])), np.frombuffer(b"".join(levels), np.int8)
-                logs = _log_probabilities(tokens, history, lambda keys: held[np.searchsorted(probed, keys)], n, v, model.value[1:])
-                scores = np.bincount(np.repeat(np.arange(len(current)), columns["n_tokens"]), logs, len(current))
+            docs = {k: [d[k] for d in group["docs"]] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")}
+            known, base, scores, m = np.array(docs["n_known"], np.int64), np.array(docs["base"], float), docs["score"], len(docs["doc_id"])
+            words, tokens = _keys(group["words"]), _numbers(group["tokens"], "<u4").astype(np.int64)
+            counts, word_levels, levels = (np.concatenate([np.zeros(0, kind), *(_numbers(a[i], kind) for a in answered)]) for i, kind in enumerate(("<i8", "i1", "i1")))
+            texts = np.repeat(np.arange(m), docs["n_tokens"]) if sharded else _numbers(group["texts"], "<u4").astype(np.int64)
+            if sharded:
+                scores = np.bincount(texts, _log_probabilities_of(words, tokens, word_levels, levels, n, v, model.value[1:]), m)
+            asked = np.flatnonzero(~np.isin(words, model.value[1], assume_unique=True))
+            count = np.zeros(len(words), np.int64)
+            count[asked] = counts
+            known += np.bincount(texts, count[tokens] > 0, m).astype(np.int64)
+            base += np.bincount(texts, np.log10(count + 1.0)[tokens], m)
             return pa.RecordBatch.from_arrays(
-                [pa.array(columns["doc_id"], pa.int64()), pa.array(columns["held_out"], pa.bool_()), pa.array(columns["n_tokens"], pa.int64()), pa.array(known), pa.array([n] * len(current), pa.int64()), pa.array(base), pa.array(scores, pa.float64())],
+                [pa.array(docs["doc_id"], pa.int64()), pa.array(docs["held_out"], pa.bool_()), pa.array(docs["n_tokens"], pa.int64()), pa.array(known), pa.array([n] * m, pa.int64()), pa.array(base), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
         for arrow in batches:
             for row in arrow.to_pylist():
-                if row["docs"] is not None:
-                    if current:
-                        yield out()
-                    current, levels = row["docs"], []
-                    tokens = None if row["tokens"] is None else np.frombuffer(row["tokens"], "<u8")
-                    known, base = np.array([d["n_known"] for d in current], np.int64), np.array([d["base"] for d in current], float)
-                elif row["levels"] is not None:
-                    levels.append(row["levels"])
-                else:
-                    texts = np.frombuffer(row["texts"], "<u4")
-                    known[texts] += np.frombuffer(row["known"], "<i8")
-                    base[texts] += np.frombuffer(row["logs"])
-        if current:
+                if row["docs"] is None:
+                    answered.append((row["counts"], row["word_levels"], row["levels"]))
+                    continue
+                if group is not None:
+                    yield out()
+                group, answered = row, []
+        if group is not None:
             yield out()
 
-    dealt = parts_of_batch.repartition(parallelism(spark), "batch").sortWithinPartitions("batch", "bucket")
-    return dealt.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    back = answers.repartition(parallelism(spark), "batch").sortWithinPartitions("batch", "bucket")
+    return back.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

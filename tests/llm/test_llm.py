@@ -528,6 +528,26 @@ def test_language_model(spark, monkeypatch, head_words):
     assert (unlearned["train_tokens"], unlearned["n_known"], unlearned["n_tokens"]) == (0, 0, 3)
 
 
+@pytest.mark.parametrize("most_bits", [1 << 40, 0])
+def test_a_group_asks_each_bucket_once(spark, monkeypatch, most_bits):
+    """The questions follow groups of texts, not slices of text times buckets; small groups and slices change no result."""
+    monkeypatch.setattr(language_model, "HEAD_WORDS", 40)
+    dealt, frame = [], type(spark.range(0))
+    deal = frame.repartitionById
+    monkeypatch.setattr(frame, "repartitionById", lambda self, n, *columns: (dealt.append((self, n)), deal(self, n, *columns))[1])
+    texts = [" ".join(small_words(i, 250_000, 5_000)) for i in range(3)]  # a slice of text each, or more
+    language_model.score_texts(docs_of(spark, texts).coalesce(1), broadcast_bits=most_bits).collect()
+    asked, buckets = dealt[-1]
+    assert 0 < asked.where("turn = 1").count() <= buckets + 1
+    docs = docs_of(spark, AWKWARD + [" ".join(small_words(i, 100, 60)) for i in range(60)]).coalesce(2)
+    score = lambda: language_model.score_texts(docs, bits_per_key=4000, broadcast_bits=most_bits).orderBy("doc_id").collect()
+    whole = score()
+    monkeypatch.setattr(language_model, "TEXT_SLICE", 700)
+    monkeypatch.setattr(language_model, "ASKED", 500)
+    for one, other in zip(score(), whole, strict=True):
+        assert one[:5] == other[:5] and np.allclose(one[5:], other[5:], atol=1e-6)
+
+
 @pytest.mark.parametrize("size", [2_000, 20_000, 200_000])
 def test_filter_answers_alike_at_every_load(size):
     r = np.random.default_rng(size)
