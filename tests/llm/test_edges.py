@@ -164,3 +164,30 @@ def test_language_sends_a_carried_text_once(spark):
     assert [(r["lang"], r["text"]) for r in got.orderBy("doc_id").collect()] == list(zip(langs, texts))
     sent = re.search(r"MapInArrow \w+\((.*?)\)", got._jdf.queryExecution().optimizedPlan().toString())[1]
     assert "_text#" in sent and not re.search(r"\btext#", sent)
+
+
+def test_language_learns_from_every_text(spark):
+    """Centroids and bounds equal plain spherical k-means and quantiles over all texts of a language, also of more than some hundreds."""
+    r = random.Random(6)
+    texts, langs = [], []
+    for lang, alphabet, n in (("xx", "abcdé ñ,.", 1500), ("yy", "mnopqr sst.", 40)):
+        texts += ["".join(r.choice(alphabet) for _ in range(r.randrange(20, 200))) for _ in range(n)]
+        langs += [lang] * n
+    idf, names, matrix, bounds = language_id.fit(docs_of(spark, texts, None, langs).repartition(3))
+    counts = language_id.trigram_counts(texts)
+    x = language_id.tf_idf(counts, idf)
+    for lang in ("xx", "yy"):
+        own = x[np.array(langs) == lang].astype(float)
+        chosen = [int((own @ own.mean(axis=0)).argmax())]
+        while len(chosen) < language_id.CENTROIDS:
+            chosen.append(int((own @ own[chosen].T).max(axis=1).argmin()))
+        want = own[chosen]
+        for _ in range(language_id.ROUNDS):
+            near = (own @ want.T).argmax(axis=1)
+            want = np.stack([own[near == i].sum(axis=0) if (near == i).any() else want[i] for i in range(len(want))])
+            want /= np.linalg.norm(want, axis=1)[:, None]
+        got = np.array([c for c, name in zip(matrix, names) if name == lang])
+        assert len(got) == len(want) and (got @ want.T).max(axis=1).min() > 0.9999 and (want @ got.T).max(axis=1).min() > 0.9999
+    best, size = (x @ matrix.T).max(axis=1), language_id.size_class(counts)
+    for k in np.flatnonzero(np.bincount(size, minlength=13) >= language_id.LEAST_CLASS):
+        assert math.isclose(bounds[k], language_id.REJECT_SHARE * np.quantile(best[size == k], language_id.LOW_QUANTILE), abs_tol=2e-5)
