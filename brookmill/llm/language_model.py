@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropping_shuffles, fold_of, parallelism, text_slices, written
+from .common import dropping_shuffles, fold_of, from_planes, giving_back, parallelism, planes, small_batches, text_slices, written
 from .hashing import mix, pair_hash, words_of
 
 #: Bits of the filter for each key, and hash functions of a key: about 2 % of keys that are not
@@ -79,23 +79,13 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """All lowest bytes, then all second bytes and so on: the planes that hold little compress well."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
-
-
-def _numbers(planes: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 def _gaps(keys: np.ndarray) -> bytes:
     """Ascending keys as the planes of the first one and of the gaps between them."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _keys(gaps: bytes) -> np.ndarray:
-    return np.cumsum(_numbers(gaps, "<u8"), dtype=np.uint64)
+    return np.cumsum(from_planes(gaps, "<u8"), dtype=np.uint64)
 
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -126,7 +116,7 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
                 borders = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))  # buckets are ranges of keys
                 rows = [b for b in range(buckets) if borders[b] < borders[b + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int32()), pa.array([kind] * len(rows)), pa.array([_gaps(keys[borders[b] : borders[b + 1]]) for b in rows], pa.binary()), pa.array([_planes(counts[borders[b] : borders[b + 1]].astype("<u4")) for b in rows], pa.binary())],
+                    [pa.array(rows, pa.int32()), pa.array([kind] * len(rows)), pa.array([_gaps(keys[borders[b] : borders[b + 1]]) for b in rows], pa.binary()), pa.array([planes(counts[borders[b] : borders[b + 1]].astype("<u4")) for b in rows], pa.binary())],
                     names=["bucket", "kind", "keys", "counts"],
                 )
 
@@ -138,7 +128,7 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, _COUNTED)
+    return docs.select("text").mapInArrow(giving_back(run), _COUNTED)
 
 
 class FrequencyFilter:
@@ -247,7 +237,7 @@ def _merge(counted: DataFrame, buckets: int, bits_per_key: int) -> DataFrame:
         def merged_row() -> pa.RecordBatch:
             both = {}
             for kind, parts in held.items():
-                both[kind] = _merged(np.concatenate([_keys(k) for k, _ in parts] or [np.zeros(0, np.uint64)]), np.concatenate([_numbers(c, "<u4") for _, c in parts] or [np.zeros(0, np.uint32)]).astype(np.int64))
+                both[kind] = _merged(np.concatenate([_keys(k) for k, _ in parts] or [np.zeros(0, np.uint64)]), np.concatenate([from_planes(c, "<u4") for _, c in parts] or [np.zeros(0, np.uint32)]).astype(np.int64))
                 parts.clear()
             keys, counts = both["1"]
             top = np.sort(np.argsort(-counts, kind="stable")[:head])
@@ -265,7 +255,7 @@ def _merge(counted: DataFrame, buckets: int, bits_per_key: int) -> DataFrame:
             yield merged_row()
 
     dealt = counted.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, _MERGED)
+    return dealt.mapInArrow(giving_back(run), _MERGED)
 
 
 _MERGED_ARROW = pa.schema([("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), *((c, pa.binary()) for c in ("head_keys", "head_counts", "keys", "counts", "part"))])
@@ -295,7 +285,7 @@ def _answers(asked: list[tuple], keys: np.ndarray, counts: np.ndarray, filter_:
         at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
         found = np.where(keys[at] == words, counts[at], 0)
     levels = [np.zeros(len(x), np.int8) if filter_ is None else filter_.levels(x, np.zeros(len(x), int)) for x in (words, pairs)]
-    columns = [[_planes(found[x]) for x in of_words], [levels[0][x].tobytes() for x in of_words], [levels[1][x].tobytes() for x in of_pairs]]
+    columns = [[planes(found[x]) for x in of_words], [levels[0][x].tobytes() for x in of_words], [levels[1][x].tobytes() for x in of_pairs]]
     none = [pa.nulls(len(asked), kind) for kind in (_DOCS_ARROW, pa.binary(), pa.binary(), pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array([row[0] for row in asked], pa.int64()), pa.array([row[1] for row in asked], pa.int32()), *none, *(pa.array(c, pa.binary()) for c in columns)], schema=_ANSWER_ARROW)
 
@@ -310,6 +300,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
     A filter of more than ``broadcast_bits`` bits is probed where it lies.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = 2 * parallelism(spark)
     held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held)
@@ -347,7 +338,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
             words, place = np.unique(np.concatenate([w for w, _ in flow]), return_inverse=True)
             begin = np.cumsum([0] + [len(w) for w, _ in flow]).tolist()
             tokens = np.concatenate([place[i:j][at] for i, j, (_, at) in zip(begin, begin[1:], flow)])
-            own = {"batch": batch_id, "docs": about, "words": _gaps(words), "tokens": _planes(tokens.astype("<u4")), "texts": None if sharded else _planes(np.concatenate(texts_of).astype("<u4"))}
+            own = {"batch": batch_id, "docs": about, "words": _gaps(words), "tokens": planes(tokens.astype("<u4")), "texts": None if sharded else planes(np.concatenate(texts_of).astype("<u4"))}
             rows: dict[int, dict] = {}
             for name, arrays in (("keys", keys), ("pairs", pairs)):
                 asked = _distinct(np.concatenate(arrays or [words[:0]]))
@@ -387,7 +378,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
         if about:
             yield ask()
 
-    scored = rows.mapInArrow(score, _SCORED)
+    scored = rows.mapInArrow(giving_back(score), _SCORED)
     if not sharded:  # small then; else more than the texts, and read once
         scored = written(scored, "scored")
     empty = F.lit(None).cast("binary")
@@ -416,7 +407,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
         if waiting:
             yield _answers(waiting, *held)
 
-    answers = asked.union(counts).repartitionById(buckets, F.col("to")).sortWithinPartitions("to", "turn", "batch").mapInArrow(look_up, _ANSWER)
+    answers = asked.union(counts).repartitionById(buckets, F.col("to")).sortWithinPartitions("to", "turn", "batch").mapInArrow(giving_back(look_up), _ANSWER)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict | None = None
@@ -425,9 +416,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
         def out() -> pa.RecordBatch:
             docs = {k: [d[k] for d in group["docs"]] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")}
             known, base, scores, m = np.array(docs["n_known"], np.int64), np.array(docs["base"], float), docs["score"], len(docs["doc_id"])
-            words, tokens = _keys(group["words"]), _numbers(group["tokens"], "<u4").astype(np.int64)
-            counts, word_levels, levels = (np.concatenate([np.zeros(0, kind), *(_numbers(a[i], kind) for a in answered)]) for i, kind in enumerate(("<i8", "i1", "i1")))
-            texts = np.repeat(np.arange(m), docs["n_tokens"]) if sharded else _numbers(group["texts"], "<u4").astype(np.int64)
+            words, tokens = _keys(group["words"]), from_planes(group["tokens"], "<u4").astype(np.int64)
+            counts, word_levels, levels = (np.concatenate([np.zeros(0, kind), *(from_planes(a[i], kind) for a in answered)]) for i, kind in enumerate(("<i8", "i1", "i1")))
+            texts = np.repeat(np.arange(m), docs["n_tokens"]) if sharded else from_planes(group["texts"], "<u4").astype(np.int64)
             if sharded:
                 scores = np.bincount(texts, _log_probabilities_of(words, tokens, word_levels, levels, n, v, model.value[1:]), m)
             asked = np.flatnonzero(~np.isin(words, model.value[1], assume_unique=True))
@@ -452,4 +443,4 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, bits_per_key
             yield out()
 
     back = answers.repartition(parallelism(spark), "batch").sortWithinPartitions("batch", "bucket")
-    return back.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return back.mapInArrow(giving_back(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
